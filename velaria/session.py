@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # For whoever creates the session.  The first stops PySpark from walking the Python stack for
@@ -30,8 +35,28 @@ def local_session(cores: str = "8", memory: str = "8g", **extra: str) -> SparkSe
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(context: SparkContext) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Spark copies the archive to every executor, also to those that join later.
+    """
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="velaria-")) / "velaria.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings only: timestamps in UTC, plans revised with what the stages measured."""
+    ship(spark.sparkContext)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
