@@ -85,6 +85,7 @@ def mask_scopes(
 ) -> tuple[DataFrame, DataFrame]:
     """(masked texts, vault) with one numbering over all the texts of a scope.
 
+    Pass a materialized scan (`velaria.session.materialize`): it is read three times.
     `scanned` has scope, text_ord, text and spans.  Only span rows are shuffled for numbering;
     texts without hidden spans are escaped where they are and never moved.
     """

@@ -74,12 +74,17 @@ def tokens_in(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(marks, lambda m: ~_is_escape(m)), _token))
 
 
-def parts_of(text: Column) -> Column:
+def parts_of(text: Column, own: Column | None = None) -> Column:
     """array<struct<piece,token>>: the text cut at its placeholders; joined, it is the text.
 
-    Escapes stay inside the text around them, and no piece is empty.
+    Escapes stay inside the text around them, and no piece is empty.  With `own` (an array of
+    tokens) any other placeholder is text too.
     """
-    # An escape is protected by an alternative that keeps it; only placeholders cut the text.
+
+    def cuts(mark):
+        placeholder = ~_is_escape(mark) & (mark != "")
+        return placeholder if own is None else placeholder & F.array_contains(own, _token(mark))
+
     marks = F.regexp_extract_all(text, F.lit(MARK), F.lit(0))
     gaps = F.split(text, MARK, -1)
     flat = F.flatten(
@@ -90,7 +95,7 @@ def parts_of(text: Column) -> Column:
                 F.struct(g.alias("piece"), F.lit(None).cast("string").alias("token")),
                 F.struct(
                     m.alias("piece"),
-                    F.when(~_is_escape(m) & (m != ""), _token(m)).alias("token"),
+                    F.when(cuts(m), _token(m)).alias("token"),
                 ),
             ),
         )

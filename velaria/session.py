@@ -7,7 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # For whoever creates the session.  The first stops PySpark from walking the Python stack for
 # every column expression (a static setting): a whole scan has thousands of them.
@@ -61,3 +61,17 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """`df` computed once and written to the checkpoint folder; plans over it start from there.
+
+    A scan is a large expression: a plan that reads it several times, or filters on its result,
+    would carry and run it several times.  The folder is the cluster's (`spark.checkpoint.dir`),
+    so a lost executor loses nothing; only a session without one, as in tests, gets a local one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="velaria-checkpoint-"))
+    return df.checkpoint(eager=True)
