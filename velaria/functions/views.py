@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from velaria.functions import tables
 
@@ -61,7 +62,7 @@ def original_end(end: Column, shift: Column) -> Column:
     return (original_start(end - 1, shift) + 1).cast("int")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _fold_unicode(texts: pd.Series) -> pd.Series:
     # Spark has no Unicode normalisation: rows that are not ASCII go through this one.
     alike = str.maketrans(tables.look_alikes())
@@ -163,7 +164,7 @@ def model_view(text: Column) -> Column:
     return _rewrite(runs, GLUED, lambda run: F.repeat(F.lit(" "), F.length(run)))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_key(names: pd.Series) -> pd.Series:
     """A field name without case or width differences (apply it to distinct names)."""
     return names.map(

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from velaria.operators import guard, masking
 from velaria.operators.detect import scan
@@ -160,7 +161,7 @@ def leaves(bodies: DataFrame, scope="scope_id", body="body", json_names=("argume
 
 
 def _rebuild(json_names):
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def put_back(texts: pd.Series, changes: pd.Series) -> pd.Series:
         def one(text, listed):
             if text is None or listed is None or len(listed) == 0:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from velaria.functions import tables
 from velaria.operators.resolve import order_of, type_order
@@ -187,7 +188,7 @@ def minute_totals(events: DataFrame) -> DataFrame:
     ).select(F.col("w.start").alias("minute"), "origin", "outcome", "requests")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def address_bucket(addresses: pd.Series) -> pd.Series:
     """An IPv4 address (mapped ones too), the /64 of an IPv6 one, or the text itself."""
 

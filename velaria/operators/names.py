@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from velaria.functions.spans import char_at, hits, let, piece
 from velaria.functions.views import detector_view, model_view
@@ -89,7 +90,7 @@ def windows(texts: DataFrame, keys, text: str = "text") -> DataFrame:
     )
 
 
-@pandas_udf("array<struct<first:int,last:int>>")
+@pandas_udf(ArrayType(StructType().add("first", IntegerType()).add("last", IntegerType())))
 def pieces_under_budget(counts: pd.Series, budget: pd.Series, overlap: pd.Series) -> pd.Series:
     """Word ranges of at most `budget` model tokens; null when a word alone is over it.
 

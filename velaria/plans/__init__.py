@@ -4,7 +4,7 @@ from importlib import import_module
 
 from velaria.plans.registry import ORACLES, QUERIES as ALL_QUERIES
 
-MODULES = ("values", "masking", "intervals", "exposure", "feed", "keytables")
+MODULES = ("values", "masking", "intervals", "exposure", "feed", "keytables", "bodies")
 for _name in MODULES:
     import_module(f"velaria.plans.{_name}")
 
