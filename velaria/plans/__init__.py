@@ -4,7 +4,9 @@ from importlib import import_module
 
 from velaria.plans.registry import ORACLES, QUERIES as ALL_QUERIES
 
-MODULES = ("values", "masking", "intervals", "exposure", "feed", "keytables", "bodies")
+MODULES = (
+    "values", "masking", "intervals", "exposure", "feed", "keytables", "bodies", "streams", "people",
+)
 for _name in MODULES:
     import_module(f"velaria.plans.{_name}")
 
