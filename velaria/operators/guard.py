@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from velaria.functions.views import compact, guard_view
+from velaria.session import materialize
 
 MIN_COMPACT = 6
 
@@ -63,13 +64,7 @@ def _first_word(normal: Column) -> Column:
 
 def _keys(normal: Column, squeezed: Column) -> Column:
     """Every key a needle found in this text could have."""
-    grams = F.when(
-        F.length(squeezed) >= MIN_COMPACT,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(squeezed) - MIN_COMPACT + 1, F.lit(1))),
-            lambda i: F.substring(squeezed, i, F.lit(MIN_COMPACT)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    grams = F.regexp_extract_all(squeezed, F.lit(rf"(?s)(?=(.{{{MIN_COMPACT}}}))"), F.lit(1))
     words = F.transform(
         F.regexp_extract_all(normal, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)),
         lambda w: F.concat(F.lit("w:"), w),
@@ -99,20 +94,20 @@ def leaking_scopes(
     needles whose key it holds.
     """
     wanted = needles(vault, scope)
-    watched = outgoing.join(vault.select(scope).distinct(), scope, "left_semi").select(
-        scope, ordinal, guard_view(F.col(text)).alias("_normal")
+    watched = materialize(
+        outgoing.join(vault.select(scope).distinct(), scope, "left_semi")
+        .select(scope, ordinal, guard_view(F.col(text)).alias("_normal"))
+        .withColumn("_compact", compact(F.col("_normal")))
     )
     keyed = (
         watched.select(
-            scope, ordinal, F.explode_outer(_keys(F.col("_normal"), compact(F.col("_normal")))).alias("key")
+            scope, ordinal, F.explode_outer(_keys(F.col("_normal"), F.col("_compact"))).alias("key")
         )
         .filter("key is not null")
         .join(wanted, [scope, "key"])
         .select(scope, ordinal, "needle", "whole")
     )
-    hit = _is_hit(
-        F.col("_normal"), compact(F.col("_normal")), F.col("needle"), F.col("whole")
-    )
+    hit = _is_hit(F.col("_normal"), F.col("_compact"), F.col("needle"), F.col("whole"))
     return keyed.join(watched, [scope, ordinal]).filter(hit).select(scope).distinct()
 
 

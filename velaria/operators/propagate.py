@@ -17,6 +17,7 @@ from velaria.functions import tables
 from velaria.functions.spans import SPANS_TYPE, char_at, piece
 from velaria.operators.policy import hides
 from velaria.operators.resolve import resolve
+from velaria.session import materialize
 
 # --- Fixed values -----------------------------------------------------------------------------
 MIN_COMPACT = 6  # from here on, names are found inside words too
@@ -65,45 +66,70 @@ def _every(text: str, needle: str):
         at = text.find(needle, at + 1)
 
 
+def _needles(names, short: bool):
+    """(folded needle, its letters and digits, type) of the short or of the long names."""
+    for name in names:
+        needle = _folded(name["value"])[0].strip()
+        letters = "".join(c for c in needle if c.isalnum())
+        if len(letters) >= MIN_LETTERS and (len(letters) < MIN_COMPACT) == short:
+            yield needle, letters, name["type"]
+
+
+def _place(where, at, size, kind):
+    return {"start": where[at], "end": where[at + size - 1] + 1, "type": kind}
+
+
 @pandas_udf(PLACES)
-def _appearances(texts: pd.Series, names: pd.Series, masked: pd.Series) -> pd.Series:
-    """Where each (type, value) of `names` appears in the text.
+def _long_appearances(texts: pd.Series, names: pd.Series) -> pd.Series:
+    """Names of six or more letters and digits, wherever their letters stand, also inside words."""
 
-    With `masked` null the long names are looked for, anywhere; else the short ones, as words,
-    a character of a masked range counting as an edge.
+    def one(text, listed):
+        if text is None or listed is None:
+            return []
+        small, places = _squeezed(*_folded(text))
+        return [
+            _place(places, at, len(letters), kind)
+            for _, letters, kind in _needles(listed, False)
+            for at in _every(small, letters)
+        ]
+
+    return pd.Series([one(*row) for row in zip(texts, names)])
+
+
+@pandas_udf(PLACES)
+def _short_appearances(texts: pd.Series, names: pd.Series, hidden: pd.Series, shown: pd.Series) -> pd.Series:
+    """Shorter names as words.  A hidden character is an edge, so what is found may free more:
+    a few rounds, until nothing new is hidden.  Ranges that stay visible never become hidden.
     """
 
-    def one(text, listed, ranges):
-        if text is None or listed is None or len(listed) == 0:
+    def chars(ranges):
+        return {i for r in ranges for i in range(r["start"], r["end"])}
+
+    def one(text, listed, covered, clear):
+        needles = [] if text is None or listed is None else list(_needles(listed, True))
+        if not needles:
             return []
         normal, places = _folded(text)
-        small, small_places = _squeezed(normal, places)
-        hidden = None if ranges is None else {i for r in ranges for i in range(r["start"], r["end"])}
-        out = []
-        for name in listed:
-            needle = _folded(name["value"])[0].strip()
-            letters = "".join(c for c in needle if c.isalnum())
-            if len(letters) < MIN_LETTERS or (len(letters) >= MIN_COMPACT) != (hidden is None):
-                continue
-            if hidden is None:
-                hits = ((small_places, at, len(letters)) for at in _every(small, letters))
-            else:
-
-                def edge(i):
-                    return not 0 <= i < len(normal) or not normal[i].isalnum() or places[i] in hidden
-
-                hits = (
-                    (places, at, len(needle))
-                    for at in _every(normal, needle)
-                    if edge(at - 1) and edge(at + len(needle))
-                )
-            out += [
-                {"start": where[at], "end": where[at + size - 1] + 1, "type": name["type"]}
-                for where, at, size in hits
-            ]
-        return out
-
-    return pd.Series([one(*row) for row in zip(texts, names, masked)])
+        masked, visible, found = chars(covered), chars(clear), {}
+
+        def edge(i):
+            return not 0 <= i < len(normal) or not normal[i].isalnum() or places[i] in masked
+
+        for _ in range(ROUNDS):
+            new = {
+                (needle, at, kind)
+                for needle, _, kind in needles
+                for at in _every(normal, needle)
+                if edge(at - 1) and edge(at + len(needle))
+            } - set(found)
+            found |= {key: _place(places, key[1], len(key[0]), key[2]) for key in new}
+            added = chars(found[key] for key in new) - visible - masked
+            if not added:
+                break
+            masked |= added
+        return list(found.values())
+
+    return pd.Series([one(*row) for row in zip(texts, names, hidden, shown)])
 
 
 def _as_names(places: Column) -> Column:
@@ -136,19 +162,23 @@ def propagate(scanned: DataFrame, scope="scope_id", text="text", policy=None) ->
     few = counted.filter(F.col("n") <= MAX_NAMES).select(scope)
     listed = values.join(few, scope).groupBy(scope).agg(F.collect_list(F.struct("type", "value")).alias("_names"))
     named = scanned.join(listed, scope)
-    found = named.withColumn(
-        "_more", _appearances(F.col(text), F.col("_names"), F.lit(None).cast(PLACES))
-    )
-    out = found.withColumn("spans", _merged(text))
-    for _ in range(ROUNDS):
-        masked = F.transform(
-            F.filter("spans", lambda s: hides(s["type"], policy)),
+
+    def ranges(test):
+        return F.transform(
+            F.filter("spans", test),
             lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type")),
         )
-        out = out.withColumn("_more", _appearances(F.col(text), F.col("_names"), masked)).withColumn(
-            "spans", _merged(text)
-        )
-    out = out.drop("_more", "_names")
+
+    # Each step is written before the next: the Python searches read plain columns.
+    long = materialize(named.withColumn("_more", _long_appearances(F.col(text), F.col("_names"))))
+    placed = materialize(
+        long.withColumn("spans", _merged(text))
+        .withColumn("_hidden", ranges(lambda s: hides(s["type"], policy)))
+        .withColumn("_shown", ranges(lambda s: ~hides(s["type"], policy)))
+    )
+    short = _short_appearances(F.col(text), F.col("_names"), F.col("_hidden"), F.col("_shown"))
+    both = materialize(placed.withColumn("_more", short))
+    out = both.withColumn("spans", _merged(text)).drop("_more", "_names", "_hidden", "_shown")
     rest = scanned.join(listed.select(scope), scope, "left_anti").join(blocked, scope, "left_anti")
     return out.unionByName(rest.select(*out.columns)), blocked
 

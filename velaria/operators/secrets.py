@@ -21,14 +21,9 @@ LAYERS = 3
 
 
 def _grams(text: Column, size: int, step: int = 1) -> Column:
-    last = F.length(text) - size + 1
-    return F.when(
-        last >= 1,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step)),
-            lambda i: F.substring(text, i, F.lit(size)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    """Pieces of `size` characters at every place, or (step = size) one after the other."""
+    pattern = rf"(?s).{{{size}}}" if step == size else rf"(?s)(?=(.{{{size}}}))"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0 if step == size else 1))
 
 
 def key_grams(keys: DataFrame) -> DataFrame:

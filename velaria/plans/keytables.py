@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from velaria.functions import builders, keyfmt
 from velaria.operators import keytable
 from velaria.plans import planted_sql as sql
-from velaria.plans.registry import query, table
+from velaria.plans.registry import query, spread, table
 
 # Peppers of the test ring: fixed bytes, no secret.
 PEPPERS = {1: b"first test pepper of thirty-two b", 2: b"second test pepper with 32 bytes!"}
@@ -104,7 +104,7 @@ def calls_checked(spark, sf):
     shown = F.when(order % 10 == 0, F.concat(made, F.lit("0"))).when(order % 10 == 1, unknown).otherwise(made)
     at = F.timestamp_seconds(F.lit(1704067200) + key * 60 + (order % 60) * 86400)
     paths = F.array(*map(F.lit, keytable.ROUTE_SCOPES))
-    calls = table(spark, sf, "orders").select(
+    calls = spread(table(spark, sf, "orders")).select(
         "o_orderkey",
         shown.alias("presented"),
         at.alias("at"),

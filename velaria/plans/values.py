@@ -9,7 +9,7 @@ from velaria.functions.spans import piece
 from velaria.functions.tables import DNI_LETTERS
 from velaria.operators import detect
 from velaria.plans import planted_sql as sql
-from velaria.plans.registry import query, table
+from velaria.plans.registry import query, spread, table
 from velaria.sources.corpus import corpus, gold_table
 
 NAMES = (
@@ -39,7 +39,7 @@ def s09_builders(spark, sf):
     + " select kind || '-' || cast(key as varchar) as name, kind, text from texts",
 )
 def s08_corpus_texts(spark, sf):
-    return corpus(table(spark, sf, "orders"), "o_orderkey").select("name", "kind", "text")
+    return corpus(spread(table(spark, sf, "orders")), "o_orderkey").select("name", "kind", "text")
 
 
 @query(
@@ -48,7 +48,7 @@ def s08_corpus_texts(spark, sf):
     + ' select key, start, "end", label from gold',
 )
 def s08_corpus_gold(spark, sf):
-    docs = corpus(table(spark, sf, "orders"), "o_orderkey")
+    docs = corpus(spread(table(spark, sf, "orders")), "o_orderkey")
     return gold_table(docs, ["o_orderkey"]).withColumnRenamed("o_orderkey", "key")
 
 
@@ -85,7 +85,7 @@ def _validator(name, builder, check, letters=False):
     def build(spark, sf):
         key = F.col("o_orderkey")
         good = getattr(builders, builder)(key)
-        valued = table(spark, sf, "orders").select(
+        valued = spread(table(spark, sf, "orders")).select(
             key.alias("key"), F.when(key % 3 == 0, _broken(good, letters)).otherwise(good).alias("value")
         )
         return valued.withColumn("valid", check(F.col("value")))
@@ -332,7 +332,7 @@ with runs as (
 """,
 )
 def d12_ip(spark, sf):
-    found = detect.candidates(table(spark, sf, "documents"), "text", ("IP",))
+    found = detect.candidates(spread(table(spark, sf, "documents")), "text", ("IP",))
     rows = found.select("doc_id", F.explode_outer("candidates").alias("s")).filter("s is not null")
     return rows.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
@@ -344,7 +344,7 @@ def d12_ip(spark, sf):
         "where regexp_extract(run, '[A-Za-z0-9_.!#$%&*+/=?^`{|}~-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,24}') <> '' group by all",
 )
 def d11_email(spark, sf):
-    found = detect.scan(table(spark, sf, "documents"), "text", ("EMAIL",))
+    found = detect.scan(spread(table(spark, sf, "documents")), "text", ("EMAIL",))
     return detect.value_table(found, ["doc_id"]).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
