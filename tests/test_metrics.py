@@ -1,0 +1,173 @@
+"""Metrics, limiter, keys and streams against plain Python."""
+
+import hashlib
+import hmac
+import json
+import random
+import zlib
+from collections import deque
+
+from pyspark.sql import functions as F
+
+from velaria.functions import keyfmt, views
+from velaria.operators import exposure, feed, names, secrets
+from velaria.streaming import relay
+
+
+def greedy(gold, pred):
+    out = {}
+    for label in {x[2] for x in gold + pred}:
+        free = sorted(g for g in gold if g[2] == label)
+        tp = fp = 0
+        for p in sorted(p for p in pred if p[2] == label):
+            hit = next((g for g in free if g[0] < p[1] and p[0] < g[1]), None)
+            if hit is None:
+                fp += 1
+            else:
+                free.remove(hit)
+                tp += 1
+        out[label] = (tp, fp, len(free))
+    return out
+
+
+def test_overlap_and_leaks_match_brute_force(spark):
+    rng = random.Random(3)
+
+    def some():
+        return [(s, s + rng.randint(1, 9), rng.choice("AB")) for s in (rng.randrange(50) for _ in range(rng.randint(0, 8)))]
+
+    docs = [(i, "".join(rng.choice("aé1 .") for _ in range(70)), some(), some()) for i in range(60)]
+    kind = "array<struct<start:int,end:int,label:string>>"
+    df = spark.createDataFrame(docs, f"id int, text string, gold {kind}, pred {kind}")
+
+    def rows(name):
+        return df.select("id", F.explode(name).alias("x")).select("id", "x.*")
+
+    got = {
+        (r.id, r.label): (r.tp, r.fp, r.fn)
+        for r in exposure.overlap_counts(rows("gold"), rows("pred"), ["id"]).collect()
+    }
+    want = {(i, k): v for i, _, g, p in docs for k, v in greedy(g, p).items()}
+    assert got == want
+    leaked = sorted((r.id, r.label, r.leaked) for r in exposure.leaked_annotations(df, ["id"]).collect())
+    assert leaked == sorted(
+        (i, g[2], any(text[c].isalnum() and not any(p[0] <= c < p[1] for p in pred) for c in range(g[0], g[1])))
+        for i, text, gold, pred in docs
+        for g in gold
+    )
+    touched = exposure.touches(rows("pred"), rows("gold"), ["id"])
+    assert touched.count() == sum(len(d[3]) for d in docs)
+    assert touched.filter("touches").count() == sum(
+        any(g[0] < p[1] and p[0] < g[1] for g in d[2]) for d in docs for p in d[3]
+    )
+
+
+def test_greedy_limit_matches_a_queue(spark):
+    rng = random.Random(8)
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.choice((0, 200_000, 1_000_000, 70_000_000 if rng.random() < 0.05 else 10))
+        rows.append((i, "k", at))
+    df = spark.createDataFrame(rows, "event_id int, key string, t long").select("event_id", "key", F.timestamp_micros("t").alias("at"))
+    got = {r.event_id: (r.accepted, r.wait_seconds) for r in feed.greedy_limit(df, "key", limit=5).collect()}
+    times, want = deque(maxlen=5), {}
+    for i, _, now in rows:
+        while times and now - times[0] >= 60_000_000:
+            times.popleft()
+        if len(times) < 5:
+            times.append(now)
+            want[i] = (True, 0)
+        else:
+            want[i] = (False, max(1, -(-(times[0] + 60_000_000 - now) // 1_000_000)))
+    assert got == want
+
+
+def test_key_form_and_hash_match_the_standard_library(spark):
+    body = "A1b2" * 10 + "xyz"
+    number, digits = zlib.crc32(("afz_" + body).encode()), ""
+    for _ in range(6):
+        number, d = divmod(number, 62)
+        digits = keyfmt.ALPHABET[d] + digits
+    row = spark.createDataFrame([(body,)], "b string").select(
+        keyfmt.key_from_body(F.col("b")).alias("k"), keyfmt.digest(F.col("b"), b"p" * 80).alias("h")
+    ).first()
+    assert row.k == "afz_" + body + digits
+    assert bytes(row.h) == hmac.new(b"p" * 80, body.encode(), hashlib.sha256).digest()
+
+
+def test_key_pieces(spark):
+    key = "sk-proj-AbCdEfGhIjKlMnOpQrStWxYz"
+    cases = {
+        "x " + key: True, "…EfGhIjKlMn…": True, "sk-proj-****...WxYz": True, "key AbCd****": True,
+        "**WxYz**": False, "ends in WxYz": False, "EfGhIjKlM": False, "xAbCd****": False, "...WxYz.": True,
+    }
+    texts = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
+    keys = spark.createDataFrame([(key,)], "key string")
+    got = {r.id for r in secrets.texts_with_keys(texts, keys, ["id"]).collect()}
+    assert got == {i for i, want in enumerate(cases.values()) if want}
+
+
+def test_pieces_cover_every_word(spark):
+    rng = random.Random(2)
+    rows = [([rng.randint(1, 9) for _ in range(rng.randint(0, 60))],) for _ in range(50)] + [([50],)]
+    df = spark.createDataFrame(rows, "c array<int>").select(
+        "c", names.pieces_under_budget(F.col("c"), F.lit(30), F.lit(8)).alias("p")
+    )
+    for row in df.collect():
+        if row.c == [50]:
+            assert row.p is None
+            continue
+        assert {i for p in row.p for i in range(p.first, p.last)} == set(range(len(row.c)))
+        assert all(sum(row.c[p.first : p.last]) <= 30 for p in row.p)
+        assert all(b.first > a.first for a, b in zip(row.p, row.p[1:]))
+
+
+def test_guard_view_folds_unicode(spark):
+    rows = [("  ＪＯＳÉ\tМария  ",), ("Ünï­code",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(views.guard_view(F.col("t"))).collect()]
+    assert got == ["jose mapия", "unicode"]
+
+
+STREAM = (
+    "﻿: hi\r\n\r\ndata: " + json.dumps({"choices": [{"index": 0, "delta": {"content": "a [[ES"}}]}) + "\r\n\r\n"
+    + "data: " + json.dumps({"choices": [{"index": 0, "delta": {"content": "_DNI_1]] [[wiki]] [[!x ["}}]}) + "\n\n"
+    + "data: " + json.dumps({"choices": [{"index": 0, "delta": {"tool_calls": [{"index": 0, "function": {"arguments": '{"d": "[[ES_D'}}]}}]}) + "\n\n"
+    + "data: " + json.dumps({"choices": [{"index": 0, "delta": {"tool_calls": [{"index": 0, "function": {"arguments": 'NI_1]]"}'}}]}}]}) + "\n\n"
+    + "data: " + json.dumps({"choices": [{"index": 0, "delta": {}, "finish_reason": "stop"}]}) + "\n\ndata: [DONE]\n\n"
+)
+
+
+def _play(chunks):
+    state, out = relay.new_state(), []
+    for chunk in [*chunks, None]:
+        out += relay.step(state, "openai", chunk, {"ES_DNI_1": '12"Z'})
+    return out
+
+
+def _client(out):
+    text, arguments = "", ""
+    for line in "".join(row[1] for row in out).splitlines():
+        if line.startswith("data: {"):
+            delta = json.loads(line[6:])["choices"][0]["delta"]
+            text += delta.get("content") or ""
+            for call in delta.get("tool_calls", []):
+                arguments += call["function"]["arguments"]
+    return text, arguments
+
+
+def test_any_chunking_gives_the_same_stream():
+    want = ('a 12"Z [[wiki]] [[x [', '{"d": "12\\"Z"}')
+    rng = random.Random(1)
+    for _ in range(60):
+        cuts = sorted(rng.sample(range(len(STREAM)), rng.randint(0, 30)))
+        chunks = [STREAM[a:b] for a, b in zip([0, *cuts], [*cuts, len(STREAM)])]
+        out = _play(chunks)
+        assert _client(out) == want
+        assert not any(row[3] for row in out)
+
+
+def test_cut_and_malformed_streams_end_in_one_error():
+    out = _play([STREAM[:150]])
+    assert [row[3] for row in out if row[3]] == ["upstream_stream_cut"]
+    out = _play(['data: {"choices":[{"index":0.0,"delta":{}}]}\n\n', "data: [DONE]\n\n"])
+    assert [row[3] for row in out if row[3]] == ["bad_upstream_response"]
