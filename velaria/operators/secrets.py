@@ -29,8 +29,8 @@ def _grams(text: Column, size: int, step: int = 1) -> Column:
 def key_grams(keys: DataFrame) -> DataFrame:
     """gram, key, secret, provider: the grams any text that holds a piece of the key must hold.
 
-    Every 5-gram of a secret part; the first 4 and last 4 characters of a provider key's; and the
-    first 5 characters of a key too short for the others.
+    Every 5-gram of a secret part, and the first 4 and last 4 characters of a provider key's.
+    None comes from the public prefix, which every key shares.
     """
     parts = keys.filter(F.col("key") != "").select("key").distinct().select(
         "key", secret_part(F.col("key")).alias("secret"), F.col("key").startswith("sk-").alias("provider")
@@ -41,9 +41,7 @@ def key_grams(keys: DataFrame) -> DataFrame:
         F.col("provider") & (size >= 2 * SHOWN),
         F.array(F.substring("secret", 1, SHOWN), F.substring("secret", -SHOWN, SHOWN)),
     ).otherwise(F.array().cast("array<string>"))
-    # A whole key without runs is met by its own first characters.
-    whole = F.array(F.substring("key", 1, ANCHOR), F.substring("key", 1, SHOWN))
-    return parts.select("*", F.explode(F.array_distinct(F.concat(runs, ends, whole))).alias("gram"))
+    return parts.select("*", F.explode(F.array_distinct(F.concat(runs, ends))).alias("gram"))
 
 
 def _holds_run(text: Column, secret: Column) -> Column:
@@ -113,12 +111,16 @@ def texts_with_keys(texts: DataFrame, keys: DataFrame, ids, text: str = "text")
     by_piece = met.join(texts.select(*ids, text), list(ids)).filter(
         holds_key(F.col(text), F.col("key"), F.col("secret"), F.col("provider"))
     )
-    # Whole keys whose secret part is short have no runs: their first characters anywhere.
+    # Whole keys whose secret part is short have no runs: their last characters, at any place.
     short = keys.filter(F.col("key") != "").select("key").distinct().filter(
         F.length(secret_part(F.col("key"))) < FRAGMENT
-    ).withColumn("gram", F.substring("key", 1, SHOWN))
+    ).withColumn(
+        "gram",
+        F.when(F.length("key") >= SHOWN, F.substring("key", -SHOWN, SHOWN)).otherwise(F.substring("key", 1, 1)),
+    )
+    anywhere = F.array_distinct(F.concat(_grams(F.col(text), SHOWN), F.split(text, "")))
     whole = (
-        texts.select(*ids, F.explode_outer(F.array_distinct(_grams(F.col(text), SHOWN))).alias("gram"))
+        texts.select(*ids, F.explode_outer(anywhere).alias("gram"))
         .join(short, "gram")
         .select(*ids, "key")
         .distinct()
@@ -159,8 +161,12 @@ def split_over_values(values: DataFrame, keys: DataFrame, request: str = "reques
         request,
         F.explode(F.transform(orders, lambda o: F.array_join(F.transform(o, lambda i: F.element_at("v", i)), ""))).alias("text"),
     ).distinct()
-    grams = keys.filter(F.col("key") != "").select("key", F.substring("key", 1, ANCHOR).alias("gram"))
-    met = joined.select(request, "text", F.explode_outer(_grams(F.col("text"), ANCHOR)).alias("gram")).join(grams, "gram")
+    size = F.least(F.length("key"), F.lit(ANCHOR))
+    grams = keys.filter(F.col("key") != "").select(
+        "key", F.substring("key", F.length("key") - size + 1, size).alias("gram")
+    )
+    every = F.flatten(F.array(*[_grams(F.col("text"), n) for n in range(1, ANCHOR + 1)]))
+    met = joined.select(request, "text", F.explode_outer(F.array_distinct(every)).alias("gram")).join(grams, "gram")
     return met.filter(F.contains("text", F.col("key"))).select(request).unionByName(many).distinct()
 
 

@@ -160,3 +160,13 @@ def r09_whole_words(spark, sf):
     text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("(Ana) "), F.col("text"))).otherwise(F.concat(F.lit("(Anab "), F.col("text")))
     docs = table(spark, sf, "documents").select("doc_id", text.alias("t"))
     return docs.select("doc_id", propagate.is_whole(F.col("t"), F.lit(1), F.lit(4)).alias("whole"))
+
+
+@query(
+    "u02_new_texts",
+    "select count(distinct text) as new_texts from documents where lang <> 'en' and text not in (select text from documents where lang = 'en')",
+)
+def u02_new_texts(spark, sf):
+    docs = table(spark, sf, "documents")
+    store = names.distinct_texts(docs.filter("lang = 'en'")).select("text_hash")
+    return names.new_texts(docs, store).agg(F.count("*").alias("new_texts"))

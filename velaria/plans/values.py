@@ -414,3 +414,34 @@ def m10_utf16(spark, sf):
         views.utf16_length(F.col("t")).alias("units"),
         views.utf16_offset(F.col("t"), half).alias("middle"),
     )
+
+
+@query(
+    "d25_keyword_context",
+    "select o_orderkey, o_orderkey % 60 <= 32 and o_orderkey % 5 <> 4 as near from orders",
+)
+def d25_keyword_context(spark, sf):
+    # "tel" 8 to 67 characters before the value; in one row of five it is the end of "hotel".
+    key = F.col("o_orderkey")
+    word = F.when(key % 5 == 4, "hotel").otherwise(" +tel")
+    gap = F.rpad(F.lit(" "), (key % 60 + 5).cast("int"), ".")
+    text = F.concat(F.lit("inicio del texto "), word, gap, F.lit("612345678"))
+    rows = table(spark, sf, "orders").select("o_orderkey", text.alias("t"))
+    start = F.length("t") - 9
+    return rows.select("o_orderkey", detect.has_context(F.col("t"), start, detect.PHONE_WORDS).alias("near"))
+
+
+@query(
+    "d24_hex_runs",
+    "select o_orderkey, o_orderkey % 20 >= 7 and o_orderkey % 3 <> 1 as inside from orders",
+)
+def d24_hex_runs(spark, sf):
+    # Nine hexadecimal characters with up to nineteen more before them; a letter past F in one
+    # row of three.
+    key = F.col("o_orderkey")
+    left = F.when(key % 20 == 0, "").otherwise(F.repeat(F.lit("a"), (key % 20).cast("int")))
+    right = F.when(key % 3 == 1, "z").otherwise("")
+    text = F.concat(F.lit("- "), left, F.lit("12345678F"), right, F.lit(" -"))
+    rows = table(spark, sf, "orders").select("o_orderkey", text.alias("t"), F.length(left).alias("n"))
+    hit = F.struct((F.col("n") + 2).alias("start"), (F.col("n") + 11).alias("end"), F.lit("12345678F").alias("hit"))
+    return rows.withColumn("h", hit).select("o_orderkey", detect.inside_hex_run(F.col("t"), F.col("h")).alias("inside"))
