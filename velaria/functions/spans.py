@@ -147,3 +147,14 @@ def keep_leftmost(found: Column) -> Column:
             F.aggregate(all_hits, start, step, lambda acc: acc["hits"])
         ),
     )
+
+
+def quoted(text: Column) -> Column:
+    """`text` as a pattern that matches just itself."""
+    return F.regexp_replace(text, r"([^\p{L}\p{N}])", r"\\$1")
+
+
+def stands_in(text: Column, needle: Column, before: str, after: str) -> Column:
+    """`needle` is somewhere in `text` between what two look-around patterns ask for."""
+    pattern = F.concat(F.lit(before), quoted(needle), F.lit(after))
+    return F.contains(text, needle) & F.rlike(text, pattern)

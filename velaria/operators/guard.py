@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from velaria.functions.spans import stands_in
 from velaria.functions.views import compact, guard_view
 from velaria.session import materialize
 
@@ -17,19 +18,7 @@ MIN_COMPACT = 6
 
 def contains_word(normal: Column, needle: Column) -> Column:
     """`needle` stands in `normal` with no letter or digit touching it."""
-    # \Q..\E would break on a needle that holds \E: the needle is folded text, checked by place.
-    places = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.length(normal) - F.length(needle) + 1, F.lit(1))),
-        lambda i: (F.substring(normal, i, F.length(needle)) == needle)
-        & ~F.rlike(F.substring(normal, i + F.length(needle), F.lit(1)), F.lit(r"[\p{L}\p{N}]"))
-        & (
-            (i == 1)
-            | ~F.rlike(
-                F.substring(normal, F.greatest(i - 1, F.lit(1)), F.lit(1)), F.lit(r"[\p{L}\p{N}]")
-            )
-        ),
-    )
-    return F.contains(normal, needle) & (F.size(places) > 0)
+    return stands_in(normal, needle, r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])")
 
 
 def needles(vault: DataFrame, scope: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from velaria.functions.keyfmt import secret_part
+from velaria.functions.spans import stands_in
 
 # --- Fixed values: what counts as a piece of a key --------------------------------------------
 FRAGMENT = 10
@@ -56,30 +57,15 @@ def _masked_shape(text: Column, secret: Column) -> Column:
     size = F.length(secret)
     widths = F.sequence(F.lit(SHOWN), F.greatest(F.least(F.lit(FRAGMENT), size) - 1, F.lit(SHOWN)))
     signs = r"[*•·.…]"
-    before, after = rf"(?:…|{signs}{signs})\z", rf"\A(?:…|{signs}{signs})"
-
-    def around(needle, test):
-        places = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(needle) + 1, F.lit(1))),
-            lambda i: (F.substring(text, i, F.length(needle)) == needle)
-            & test(
-                F.substring(text, F.greatest(i - 2, F.lit(1)), F.least(i - 1, F.lit(2))),
-                F.substring(text, i + F.length(needle), F.lit(2)),
-            ),
-        )
-        return F.contains(text, needle) & (F.size(places) > 0)
+    mask = rf"…|{signs}{signs}"
 
     def tail(w):
-        return around(
-            F.substring(secret, size - w + 1, w),
-            lambda left, right: F.rlike(left, F.lit(before)) & ~F.rlike(right, F.lit(r"\A[\p{L}\p{N}*•]")),
-        )
+        end = F.substring(secret, size - w + 1, w)
+        return stands_in(text, end, rf"(?<={mask})", r"(?![\p{L}\p{N}*•])")
 
     def head(w):
-        return around(
-            F.substring(secret, F.lit(1), w),
-            lambda left, right: ~F.rlike(left, F.lit(rf"(?:[\p{{L}}\p{{N}}]|{signs})\z")) & F.rlike(right, F.lit(after)),
-        )
+        start = F.substring(secret, F.lit(1), w)
+        return stands_in(text, start, rf"(?<![\p{{L}}\p{{N}}*•·.…])", rf"(?={mask})")
 
     return (size >= 2 * SHOWN) & F.exists(widths, lambda w: tail(w) | head(w))
 
