@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from velaria.functions import views
 from velaria.functions.spans import SPANS_TYPE
 from velaria.operators import names, propagate
-from velaria.plans.registry import query, table
+from velaria.plans.registry import query, spread, table
 from velaria.session import materialize
 
 
@@ -91,7 +91,7 @@ def d21_dictionary_names(spark, sf):
 def _entities(spark, sf):
     """Entities as a model could give them over windows: some documents have a bad one."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    cut = names.windows(docs, ["doc_id"])
+    cut = materialize(names.windows(spread(docs), ["doc_id"]))
     bad = (F.col("doc_id") % 10 == 0) & (F.col("window") == 0)
     size = F.length("window_text")
     made = cut.select(
