@@ -139,11 +139,15 @@ def e06_latency(spark, sf):
     f"with {BASE} select m.label, m.type, (select count(*) from gold g where g.label = m.label) as n, false as refused from mapping m",
 )
 def e07_label_mapping(spark, sf):
-    known = mapping(spark)
-    annotations = gold(spark, sf)
-    refused = exposure.unknown_labels(annotations, known).agg((F.count("*") > 0).alias("refused"))
-    counted = annotations.groupBy("label").agg(F.count("*").alias("n"))
-    return known.join(counted, "label", "left").na.fill(0, ["n"]).crossJoin(F.broadcast(refused))
+    # A label of the annotations that the mapping does not hold would show up as refused.
+    known = mapping(spark).withColumn("_known", F.lit(True))
+    counted = gold(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(known), "label", "full").select(
+        "label",
+        "type",
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.col("_known").isNull().alias("refused"),
+    )
 
 
 @query(
