@@ -38,11 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a Parquet table in the shared folder: lost executors lose nothing, readers prune columns."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -219,7 +219,8 @@ def words_of(texts: pa.Array, inside: np.ndarray = SPACED, lower: bool = False)
 
 def sum_rows(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Sums over each row's values; `of` has where they begin (rows + 1 places)."""
-    total = np.concatenate([np.zeros(1, np.result_type(values.dtype, np.int64)), np.cumsum(values)])
+    kind = values.dtype if values.dtype.kind in "uf" else np.int64
+    total = np.concatenate([np.zeros(1, kind), np.cumsum(values, dtype=kind)])
     return total[of[1:]] - total[of[:-1]]
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velaria.llm import packing, rans, tokens
+from velaria.llm import minhash, packing, rans, tokens
 from velaria.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids from the compressed files."""
     blocks, frequencies = rans.archive(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
     return rans.documents_in(blocks, frequencies)
+
+
+@query("op5_minhash_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
