@@ -38,10 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a Parquet table in the shared folder: lost executors lose nothing, readers prune columns."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
