@@ -3,13 +3,14 @@
 1. One pass gives each text the size of its shingle set, a 128-bit key of the set, band keys, and the low
    bits of its minima packed in a few longs.  Texts with equal sets form a class; its smallest id stands
    for it, so any number of copies is one row from here on.
-2. Representatives that share a band are compared with one hub of the bucket, a new one in each round; the
-   estimate from the packed bits (bit counts, corrected for chance collisions) spares most sets.  What
-   passes is confirmed on full sets, and links are merged to components.
-3. When few pairs of different components are left in buckets, all of them are compared, so that no pair
-   that shares a band and could join two components is left out.
-
-With 32 bands of 6 rows a pair at similarity 0.85 shares no band with probability below 3e-7.
+2. Representatives that share a band are compared with two hubs of the bucket (its smallest id, and one by
+   hash); the estimate from the packed bits (bit counts, corrected for chance collisions) spares most
+   sets.  What passes is confirmed on full sets, and links are merged to components.
+3. Then every pair that shares a band and lies in two components is compared too, once, so that no link
+   that could join components is left out.  In buckets with many such pairs the sets are compared where
+   the pairs meet, and only links come out; elsewhere pairs with a high estimate go to the confirmation.
+
+With 48 bands of 8 rows a pair at similarity 0.85 shares no band with probability below 3e-7.
 Shingles are 64-bit hashes of five words; a text of fewer words is one shingle, one without words has
 none and is linked with nothing.  Null text has no words.  Rows with a null id take part as copies only
 (their component is their class's); repeated rows get equal results; classes with the same smallest id
@@ -20,12 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from velaria.llm import common
 
 WORDS = 5
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 48, 8
 BITS = 2
 HASHES = BANDS * ROWS
 PER_LONG = 64 // BITS
@@ -144,9 +145,9 @@ def estimate(a: Column, b: Column) -> Column:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, by alternating large-star and small-star steps.
 
-    `edges` has a and b; only nodes that some edge joins with a smaller one are listed.
+    `edges` has two columns, the ends; only nodes that some edge joins with a smaller one are listed.
     """
-    both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    both = edges.toDF("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     step = common.written(both, "edges")
     for _ in range(most_rounds):
         ways = step.select("u", "v").union(step.select(F.col("v"), F.col("u")))
@@ -209,17 +210,46 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFr
     return sets.join(wanted, ["rep", *SET_KEY], "left_semi").dropDuplicates(["rep", *SET_KEY]).select("rep", "shingles")
 
 
-def _confirmed(df: DataFrame, pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int], text: str, key: str) -> DataFrame:
+def _sets_for(df: DataFrame, ends: DataFrame, classes: DataFrame, text: str, key: str) -> DataFrame:
+    wanted = common.written(classes.join(ends.distinct(), "rep").select("rep", *SET_KEY), "wanted")
+    return common.written(_whole_sets(df, wanted, text, key), "sets")
+
+
+def _similar(a: Column, b: Column, threshold: tuple[int, int]) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return threshold[1] * shared >= threshold[0] * (F.size(a) + F.size(b) - shared)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Those of `pairs` (a, b) whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = common.written(classes.join(ends, "rep").select("rep", *SET_KEY), "wanted")
-    sets = common.written(_whole_sets(df, wanted, text, key), "sets")
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - shared
-    return both.where(threshold[1] * shared >= threshold[0] * union).select("a", "b").distinct()
+    return both.where(_similar(F.col("set_a"), F.col("set_b"), threshold)).select("a", "b").distinct()
+
+
+def _merge(links: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Components of links beside those already known."""
+    return components(links if comp is None else links.union(comp.select(F.col("node"), F.col("component"))))
+
+
+def _first_shared(a: Column, b: Column) -> Column:
+    """The first band in which two texts agree."""
+    return F.coalesce(*[F.when(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), F.lit(k)) for k in range(BANDS)])
+
+
+def _paired(rows: DataFrame, more: list[str], least_estimate: float, threshold: tuple[int, int] = (1, 1)) -> DataFrame:
+    """Pairs of different components that meet in a bucket and are estimated similar, each in its first bucket only."""
+    names = ["rep", "component", "packed", "bands", *more]
+    one = rows.select("bucket", "band", *[F.col(c).alias(f"{c}_a") for c in names])
+    two = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in names])
+    return one.join(two, "bucket").where(
+        (F.col("rep_a") < F.col("rep_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & (estimate(F.col("packed_a"), F.col("packed_b")) >= least_estimate)
+        & (_first_shared(F.col("bands_a"), F.col("bands_b")) == F.col("band"))
+        & (_similar(F.col("shingles_a"), F.col("shingles_b"), threshold) if more else F.lit(True))
+    )
 
 
 def near_duplicates(
@@ -227,8 +257,8 @@ def near_duplicates(
     text: str = "text",
     key: str = "doc_id",
     threshold: tuple[int, int] = (85, 100),
-    least_estimate: float = 0.70,
-    hub_rounds: int = 4,
+    least_estimate: float = 0.74,
+    many_pairs: int = 2_000,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
@@ -242,57 +272,44 @@ def near_duplicates(
         "classes",
     )
     named = classes.where("rep is not null")
-    rows = named.select(F.explode("bands").alias("bucket"), "rep")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = common.written(rows.join(shared, "bucket").distinct(), "buckets")
     bits = named.select("rep", "packed")
-    edges, comp = None, None
-
-    def merged(pairs: DataFrame) -> None:
-        nonlocal edges, comp
-        links = common.written(_confirmed(df, common.written(pairs, "pairs"), named, threshold, text, key), "links")
-        edges = links if edges is None else edges.union(links)
-        comp = components(edges)
-
-    def open_buckets() -> DataFrame:
-        """Rows of buckets that still hold several components."""
-        if comp is None:
-            return buckets.withColumn("component", F.col("rep"))
-        now = buckets.join(comp, buckets["rep"] == comp["node"], "left").select(
-            "bucket", "rep", F.coalesce("component", "rep").alias("component")
-        )
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        return common.written(now.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
-
-    left = open_buckets()
-    for turn in range(hub_rounds):
-        order = F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long"), "rep", "component")
-        hubs = common.written(left.groupBy("bucket").agg(F.min(order).alias("h")).select(
-            "bucket", F.col("h.rep").alias("a"), F.col("h.component").alias("hub_component")), "hubs")
-        pairs = left.join(hubs, "bucket").where("component <> hub_component").select("a", F.col("rep").alias("b")).distinct()
-        near = (
-            pairs.join(bits.withColumnsRenamed({"rep": "a", "packed": "p"}), "a")
-            .join(bits.withColumnsRenamed({"rep": "b", "packed": "q"}), "b")
-            .where(estimate(F.col("p"), F.col("q")) >= least_estimate)
-            .select("a", "b")
-        )
-        merged(near.distinct())
-        left = open_buckets()
-        sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-            (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"), F.sum("n").alias("rows")
-        )
-        total = sizes.agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows")).first()
-        if (total["pairs"] or 0) <= 8 * (total["rows"] or 0):
-            break
-    full = left.join(bits, "rep")
-    one = full.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "packed")])
-    two = full.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "packed")])
-    rest = one.join(two, "bucket").where(
-        (F.col("rep_a") < F.col("rep_b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & (estimate(F.col("packed_a"), F.col("packed_b")) >= least_estimate)
+    count = F.count("*").over(Window.partitionBy("bucket"))
+    buckets = common.written(
+        named.select("rep", F.posexplode("bands").alias("band", "bucket")).withColumn("n", count).where("n > 1").drop("n"), "buckets"
+    )
+
+    order = F.struct(F.xxhash64("rep"), "rep")
+    hubs = buckets.groupBy("bucket").agg(F.array(F.min("rep"), F.min(order)["rep"]).alias("hubs"))
+    hubs = common.written(hubs.select("bucket", F.explode(F.array_distinct("hubs")).alias("a")), "hubs")
+    pairs = buckets.join(hubs, "bucket").where("a <> rep").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    near = (
+        pairs.join(bits.withColumnsRenamed({"rep": "a", "packed": "p"}), "a")
+        .join(bits.withColumnsRenamed({"rep": "b", "packed": "q"}), "b")
+        .where(estimate(F.col("p"), F.col("q")) >= least_estimate)
+        .select("a", "b")
+    )
+    near = common.written(near.distinct(), "pairs")
+    sets = _sets_for(df, near.select(F.col("a").alias("rep")).union(near.select("b")), named, text, key)
+    comp = _merge(_confirmed(near, sets, threshold), None)
+
+    # Buckets that still hold several components, and how many pairs of them.
+    now = buckets.join(comp, buckets["rep"] == comp["node"], "left").select(
+        "bucket", "band", "rep", F.coalesce("component", "rep").alias("component")
+    )
+    sizes = now.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
     )
-    merged(rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
+    left = common.written(now.join(sizes.where("pairs > 0"), "bucket"), "open")
+    full = left.join(named.select("rep", "packed", "bands"), "rep")
+    few = _paired(full.where(F.col("pairs") <= many_pairs), [], least_estimate)
+    few = common.written(few.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
+    many = left.where(F.col("pairs") > many_pairs).select("rep")
+    sets = _sets_for(df, few.select(F.col("a").alias("rep")).union(few.select("b")).union(many), named, text, key)
+    links = _confirmed(few, sets, threshold)
+    dense = full.where(F.col("pairs") > many_pairs).join(sets, "rep")
+    inside = _paired(dense, ["shingles"], least_estimate, threshold)
+    links = common.written(links.union(inside.select("rep_a", "rep_b")).distinct(), "links")
+    comp = _merge(links, comp)
 
     home = common.written(
         classes.join(comp, classes["rep"] == comp["node"], "left").select(*SET_KEY, F.coalesce("component", "rep").alias("component_id")),
