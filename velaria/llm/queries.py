@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velaria.llm import decontaminate, minhash, packing, rans, sharding, tokens
-from velaria.llm.common import table
+from velaria.llm import credentials, decontaminate, minhash, packing, perplexity, pseudonyms, rans, sharding, tokens
+from velaria.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return credentials.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query("op9_feistel_pseudonyms")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms; the key comes from the session's settings."""
+    key = spark.conf.get("velaria.pseudonym.key", "a key for trials")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key)
+
+
+@query("op1_perplexity_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules and perplexity bands over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    scored = written(perplexity.score(docs, perplexity.fit(docs), keep=["doc_id", "lang"]), "scored")
+    return perplexity.judge(scored).drop("lang")
