@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velaria.llm import credentials, decontaminate, minhash, packing, perplexity, pseudonyms, rans, sharding, tokens
+from velaria.llm import credentials, decontaminate, langid, minhash, packing, perplexity, pseudonyms, rans, recurrent, sharding, tokens
 from velaria.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = written(perplexity.score(docs, perplexity.fit(docs), keep=["doc_id", "lang"]), "scored")
     return perplexity.judge(scored).drop("lang")
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    own = docs.select("doc_id", langid.held_out("doc_id").alias("held_out"), "text")
+    return langid.predict(own, model, keep=["doc_id", "held_out"])
+
+
+@query("op7_recurrent_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return recurrent.score(docs, *recurrent.fit(docs))
