@@ -169,7 +169,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 # ------------------------------------------------------------------------- the operator
 
 
-def _filter_of(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+def bitmap_of(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
     """A bitmap of hashed ids, at most `most_bits` long; rows it lets through wrongly go in a later join."""
     bits = 1 << 20
     n = ids.count()
@@ -185,7 +185,7 @@ def _filter_of(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
 
 def _whole_sets(df: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
     """rep and its full set, for the wanted representatives (rep, n_shingles, key_a, key_b)."""
-    words = _filter_of(wanted.select(F.col("rep").alias("id")).distinct())
+    words = bitmap_of(wanted.select(F.col("rep").alias("id")).distinct())
     shared = df.sparkSession.sparkContext.broadcast(words)
     bits = len(words) * 32
 
