@@ -69,7 +69,7 @@ def n09_token_pieces(spark, sf):
 
 @query("n11_folded_names", "select distinct lower(event_type) as folded from events")
 def n11_folded_names(spark, sf):
-    wide = F.concat(F.upper(F.substring("event_type", 1, 2)), F.substring("event_type", 3, 20))
+    wide = F.concat(F.upper(F.substring("event_type", 1, 2)), F.substr("event_type", F.lit(3)))
     distinct = table(spark, sf, "events").select(wide.alias("name")).distinct()
     return distinct.select(views.fold_key(F.col("name")).alias("folded"))
 
