@@ -28,6 +28,8 @@ from velaria.llm import common
 HEAD = 1 << 17
 CLASS_SIZE = 64
 END = np.uint64(0x0E0D)
+#: Share of an output that has no word; gradients that stem from less would be denormal numbers, which are slow.
+LEAST = 1e-12
 
 
 def held_out(key: str) -> Column:
@@ -76,14 +78,12 @@ class Vocabulary:
         best = np.argsort(-self.counts, kind="stable")[: outputs - 1]
         self.other_total = total - int(self.counts[best].sum())
         self.other_distinct = distinct - len(best)
-        freq = np.concatenate([self.counts[best], [max(self.other_total, 0) + 1]])
-        rank = np.argsort(-freq, kind="stable")
-        number = np.empty(len(rank), np.int64)
-        number[rank] = np.arange(len(rank))
-        self.freq = freq[rank]
-        self.other = int(number[-1])
-        self.output = np.full(len(self.words), self.other, np.int64)
-        self.output[best] = number[:-1]
+        # The first class holds nothing but the shared output, which so needs no softmax of its own.
+        self.other = 0
+        self.freq = np.zeros(CLASS_SIZE + len(best))
+        self.freq[0], self.freq[CLASS_SIZE:] = max(self.other_total, 0) + 1, self.counts[best]
+        self.output = np.zeros(len(self.words), np.int64)
+        self.output[best] = CLASS_SIZE + np.arange(len(best))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head and whether it is there."""
@@ -111,11 +111,11 @@ class Network:
         rng = np.random.default_rng(5)
         for name, spread in (("embed", 0.1), ("wx", 0.3), ("wh", 0.3), ("cw", 0.05), ("ow", 0.05)):
             self.p[name][...] = rng.normal(0, spread, shapes[name])
-        share = np.full(c * CLASS_SIZE, 1e-30)
-        share[: self.size] = freq / freq.sum()
+        share = np.full(c * CLASS_SIZE, LEAST)
+        share[: self.size] = np.maximum(freq / freq.sum(), LEAST)
         share = share.reshape(c, CLASS_SIZE)
         self.p["cb"][...] = np.log(share.sum(1))
-        self.p["ob"][...] = np.maximum(np.log(share / share.sum(1, keepdims=True)), -50)
+        self.p["ob"][...] = np.log(share / share.sum(1, keepdims=True))
 
     def use(self, flat: np.ndarray) -> None:
         self.flat, self.p, at = flat, {}, 0
@@ -158,7 +158,7 @@ class Network:
             back = e @ p["cw"].T
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
+        for c in (np.flatnonzero(np.diff(cuts)[1:]) + 1).tolist():
             some = order[cuts[c] : cuts[c + 1]]
             hc = h[some]
             logit = hc @ p["ow"][c] + p["ob"][c]
@@ -202,10 +202,12 @@ class Network:
             g["wh"] += before.T @ dg
             dh = d * z + dg @ p["wh"].T
         both = dx.reshape(-1, 3 * w)
-        x = p["embed"][inputs.reshape(-1)]
-        g["wx"] += x.T @ both
+        tokens = inputs.reshape(-1)
+        g["wx"] += p["embed"][tokens].T @ both
         g["b"] += both.sum(0)
-        np.add.at(g["embed"], inputs.reshape(-1), both @ p["wx"].T)
+        order = np.argsort(tokens, kind="stable")
+        some, first = np.unique(tokens[order], return_index=True)
+        g["embed"][some] = np.add.reduceat((both @ p["wx"].T)[order], first)
         flat /= max(len(at), 1)
         past += flat * flat
         self.flat -= rate * flat / (np.sqrt(past) + 1e-6)
@@ -266,7 +268,7 @@ def _documents(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, most:
         yield np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
-def fit(df: DataFrame, text: str = "text", key: str = "doc_id", outputs: int = 4096, width: int = 16, warm_documents: int = 300, rate: float = 0.1) -> tuple[Vocabulary, Network, DataFrame]:
+def fit(df: DataFrame, text: str = "text", key: str = "doc_id", outputs: int = 2048, width: int = 12, warm_documents: int = 300, rate: float = 0.1) -> tuple[Vocabulary, Network, DataFrame]:
     """The vocabulary, the trained network, and all counts as a table."""
     spark = df.sparkSession
     counts = common.written(count_words(df, text, key), "words")
