@@ -145,7 +145,7 @@ def token_rows(df: DataFrame, path: str, text: str, key: str, end_id: int) -> Da
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         width = np.dtype(kind).itemsize
         for batch in batches:
-            for part in common.pieces(batch, 1, 2 * common.CHUNK_BYTES):
+            for part in common.pieces(batch, 1, common.CHUNK_BYTES):
                 ids, of = encoder.encode(pc.fill_null(part.column(1), ""), end_id)
                 data = pa.py_buffer(ids.astype(kind).tobytes())
                 places = pa.py_buffer((of * width).astype(np.int32).tobytes())
@@ -265,7 +265,7 @@ def read_blocks(blocks: DataFrame, table: Table) -> DataFrame:
 
 def archive(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_id: int = 2, part_ids: int = 1 << 24) -> tuple[DataFrame, Table]:
     """Texts tokenized, counted and written as blocks; the blocks and their table."""
-    ids = common.written(token_rows(df, path, text, key, end_id), "ids")
+    ids = common.written(token_rows(df, path, text, key, end_id), "ids", compression="zstd")
     counts = counted(ids)
     table = Table.scaled(counts)
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-int(counts.sum()) // part_ids))

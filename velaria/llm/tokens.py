@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from velaria.llm.common import span_hashes, text_bytes
 
-MOST_CACHED = 1_500_000
+MOST_CACHED = 600_000
 LETTER, NUMBER, SPACE, SIGN = 0, 1, 2, 3
 #: White space as Unicode defines it; fixed values.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
