@@ -333,12 +333,58 @@ def _sum_digits(value: Column) -> Column:
     return (value / 10).cast("int") + value % 10
 
 
-def vat_body_is_valid(country: Column, n: Column) -> Column:
-    """`n` is the number after the country letters.
+def _born(year: Column, month: Column, day: Column) -> Column:
+    """A real date of birth, from numbers."""
+    return real_date(day.cast("string"), month.cast("string"), F.lpad(year.cast("string"), 4, "0"))
+
+
+def bg_personal(n: Column) -> Column:
+    """Ten digits: a citizen's number with a date of birth, a foreigner's, or another taxpayer's."""
+    year, month, day = (_int(_part(n, i, 2)) for i in (1, 3, 5))
+    # Months 21 to 32 are of the 1800s, 41 to 52 of the 2000s.
+    century = F.when(month > 40, 2000).when(month > 20, 1800).otherwise(1900)
+    within = month - F.when(month > 40, 40).when(month > 20, 20).otherwise(0)
+    citizen = _born(century + year, within, day) & (
+        _weighted(n, (2, 4, 8, 5, 10, 9, 7, 3, 6)) % 11 % 10 == _digit(n, 10)
+    )
+    foreigner = _weighted(n, (21, 19, 17, 13, 11, 9, 7, 3, 1)) % 10 == _digit(n, 10)
+    other = (11 - _weighted(n, (4, 3, 2, 7, 6, 5, 4, 3, 2)) % 11) % 11 == _digit(n, 10)
+    return citizen | foreigner | other
+
+
+def birth_number(n: Column) -> Column:
+    """Czech and Slovak birth numbers: nine digits up to 1953, ten with a check digit from 1954 on."""
+    two, month, day = (_int(_part(n, i, 2)) for i in (1, 3, 5))
+    ten = F.length(n) == 10
+    year = F.when(ten, F.when(two < 54, two + 2000).otherwise(two + 1900)).otherwise(
+        F.when(two >= 80, two + 1800).otherwise(two + 1900)
+    )
+    rest = _int(_part(n, 1, 9)) % 11
+    checked = F.when(year < 1985, rest % 10).otherwise(rest) == _digit(n, 10)
+    # Women's months are 50 higher; 20 more once a day's numbers are used up.
+    return _born(year, month % 50 % 20, day) & F.when(ten, checked).otherwise(year <= 1953)
 
-    Only the company forms whose rule is public and checked here are accepted; personal forms of
-    BG, CZ, LV, RO and SK are not (see the README).
-    """
+
+def lv_personal(n: Column) -> Column:
+    """Eleven digits: date of birth and century, or 32 and no date."""
+    day, month, two = (_int(_part(n, i, 2)) for i in (1, 3, 5))
+    dated = _born(1800 + 100 * _digit(n, 7) + two, month, day)
+    check = (1 + _weighted(n, (10, 5, 8, 4, 2, 1, 6, 3, 7, 9))) % 11 % 10 == _digit(n, 11)
+    return (n.startswith("32") | dated) & check
+
+
+def ro_personal(n: Column) -> Column:
+    """Thirteen digits: sex and century, date of birth, county, number, check digit."""
+    sign, two, month, day = _digit(n, 1), _int(_part(n, 2, 2)), _int(_part(n, 4, 2)), _int(_part(n, 6, 2))
+    century = F.when(sign.isin(3, 4), 1800).when(sign.isin(5, 6), 2000).otherwise(1900)
+    county = _int(_part(n, 8, 2))
+    placed = county.between(1, 48) | county.isin(51, 52, 70) | county.between(80, 83)
+    rest = _weighted(n, (2, 7, 9, 1, 4, 6, 3, 5, 8, 2, 7, 9)) % 11
+    return _born(century + two, month, day) & placed & (F.when(rest == 10, 1).otherwise(rest) == _digit(n, 13))
+
+
+def vat_body_is_valid(country: Column, n: Column) -> Column:
+    """`n` is the number after the country letters: company, personal and government forms."""
 
     def d(i):
         return _digit(n, i)
@@ -372,8 +418,16 @@ def vat_body_is_valid(country: Column, n: Column) -> Column:
         ((ie_total + F.coalesce(ie_extra, F.lit(0))) % 23 + 1).cast("int"),
         F.lit(1),
     )
-    lt1 = reduce(lambda a, b: a + b, [d(i) * ((i - 1) % 9 + 1) for i in range(1, 9)]) % 11
-    lt2 = reduce(lambda a, b: a + b, [d(i) * ((i + 1) % 9 + 1) for i in range(1, 9)]) % 11 % 10
+    # The older form has a letter or sign second, and its first digit counts last.
+    ie_old = (_weighted(n, range(7, 2, -1), 3) + d(1) * 2) % 23
+    cz_special = (8 - (10 - _weighted(n, range(8, 1, -1), 2) % 11) % 11) % 10
+
+    def lt(size):
+        first, second = (
+            reduce(lambda a, b: a + b, [d(i) * ((i + k) % 9 + 1) for i in range(1, size)]) % 11 for k in (-1, 1)
+        )
+        return F.when(first == 10, second % 10).otherwise(first) == d(size)
+
     lu = _int(_part(n, 1, 6)) % 89 == _int(_part(n, 7, 2))
     nl_bsn = (_weighted(n, range(9, 1, -1)) - d(9)) % 11 == 0
     nl_97 = mod97(_letters_as_numbers(F.concat(F.lit("NL"), n))) == 1
@@ -388,9 +442,17 @@ def vat_body_is_valid(country: Column, n: Column) -> Column:
             (_int(_part(be, 1, 8)) > 0)
             & (97 - _int(_part(be, 1, 8)) % 97 == _int(_part(be, 9, 2))),
         ),
-        "BG": (r"[0-9]{9}", F.when(bg1 == 10, bg2).otherwise(bg1) == d(9)),
+        "BG": (
+            r"[0-9]{9,10}",
+            F.when(F.length(n) == 10, bg_personal(n)).otherwise(F.when(bg1 == 10, bg2).otherwise(bg1) == d(9)),
+        ),
         "CY": (r"(?!12)[0-9]{8}[A-Z]", F.char(65 + cy % 26) == _part(n, 9, 1)),
-        "CZ": (r"(?!9)[0-9]{8}", cz == d(8)),
+        "CZ": (
+            r"(?!9)[0-9]{8}|[0-9]{9,10}",
+            F.when(F.length(n) == 8, cz == d(8))
+            .when((F.length(n) == 9) & n.startswith("6"), cz_special == d(9))
+            .otherwise(birth_number(n)),
+        ),
         "DE": (r"[1-9][0-9]{8}", mod11_10(n)),
         "DK": (r"[1-9][0-9]{7}", _weighted(n, (2, 7, 6, 5, 4, 3, 2, 1)) % 11 == 0),
         "EE": (r"[0-9]{9}", ee % 10 == 0),
@@ -407,25 +469,39 @@ def vat_body_is_valid(country: Column, n: Column) -> Column:
         ),
         "HR": (r"[0-9]{11}", mod11_10(n)),
         "HU": (r"[0-9]{8}", _weighted(n, (9, 7, 3, 1, 9, 7, 3, 1)) % 10 == 0),
-        "IE": (r"[0-9]{7}[A-W][A-IW]?", ie_letter == _part(n, 8, 1)),
+        "IE": (
+            r"[0-9]{7}[A-W][A-IW]?|[0-9][A-Z+*][0-9]{5}[A-W]",
+            F.when(
+                _shape(_part(n, 2, 1), "[0-9]"), ie_letter == _part(n, 8, 1)
+            ).otherwise(F.substring(F.lit("WABCDEFGHIJKLMNOPQRSTUV"), (ie_old + 1).cast("int"), F.lit(1)) == _part(n, 8, 1)),
+        ),
         "IT": (
             r"(?!0000000)[0-9]{7}(?:00[1-9]|0[1-9][0-9]|100|120|121|888|999)[0-9]",
             luhn(n),
         ),
-        "LT": (r"[0-9]{7}1[0-9]", F.when(lt1 == 10, lt2).otherwise(lt1) == d(9)),
+        "LT": (r"[0-9]{7}1[0-9]|[0-9]{10}1[0-9]", F.when(F.length(n) == 12, lt(12)).otherwise(lt(9))),
         "LU": (r"[0-9]{8}", lu),
-        "LV": (r"[4-9][0-9]{10}", _weighted(n, (9, 1, 4, 8, 3, 10, 2, 5, 7, 6, 1)) % 11 == 3),
+        "LV": (
+            r"[0-9]{11}",
+            F.when(d(1) < 4, lv_personal(n)).otherwise(_weighted(n, (9, 1, 4, 8, 3, 10, 2, 5, 7, 6, 1)) % 11 == 3),
+        ),
         "MT": (r"[1-9][0-9]{7}", _weighted(n, (3, 4, 6, 7, 8, 9, 10, 1)) % 37 == 0),
         "NL": (r"(?!000000000)[0-9]{9}B(?!00)[0-9]{2}", nl_bsn | nl_97),
         "PL": (r"[0-9]{10}", (_weighted(n, (6, 5, 7, 2, 3, 4, 5, 6, 7)) - d(10)) % 11 == 0),
         "PT": (r"[1-9][0-9]{8}", pt_nif(n)),
-        "RO": (r"[1-9][0-9]{1,9}", ro_ok),
+        "RO": (r"[1-9][0-9]{1,9}|[1-9][0-9]{12}", F.when(F.length(n) == 13, ro_personal(n)).otherwise(ro_ok)),
         "SE": (r"[0-9]{10}01", luhn(_part(n, 1, 10))),
         "SI": (r"[1-9][0-9]{7}", F.when(si == 10, 0).otherwise(si) == d(8)),
-        "SK": (r"[1-9][0-9][2-47-9][0-9]{7}", _int(n) % 11 == 0),
+        "SK": (
+            r"[0-9]{10}",
+            birth_number(n) | (_shape(n, r"[1-9][0-9][2-47-9][0-9]{7}") & (_int(n) % 11 == 0)),
+        ),
         "XI": (
-            r"[0-9]{9}(?:[0-9]{3})?",
-            (xi == 0) | ((xi == 42) & ~_part(n, 1, 1).startswith("0")),
+            r"[0-9]{9}(?:[0-9]{3})?|GD[0-4][0-9]{2}|HA[5-9][0-9]{2}|GD8888[0-4][0-9]{4}|HA8888[5-9][0-9]{4}",
+            F.when(F.length(n) == 5, True)
+            .when(_shape(n, "(?:GD|HA)8888[0-9]{5}"), _int(_part(n, 7, 3)) % 97 == _int(_part(n, 10, 2)))
+            .when(_shape(n, "[0-9]+"), (xi == 0) | ((xi == 42) & ~_part(n, 1, 1).startswith("0")))
+            .otherwise(False),
         ),
     }
     out = None
