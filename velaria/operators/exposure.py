@@ -199,10 +199,10 @@ def unknown_labels(gold: DataFrame, mapping: DataFrame) -> DataFrame:
 def mapped(gold: DataFrame, mapping: DataFrame) -> DataFrame:
     """Annotations relabelled with their type; those of no type are left out.
 
-    A mapping has one row per label of an annotation scheme (tens), so it is broadcast.
+    A mapping has one row per label of an annotation scheme (tens); Spark broadcasts it by its size.
     """
     return (
-        gold.join(F.broadcast(mapping.filter("type is not null")), "label")
+        gold.join(mapping.filter("type is not null"), "label")
         .drop("label")
         .withColumnRenamed("type", "label")
     )
@@ -234,17 +234,17 @@ def report_by_source(documents: DataFrame, gold, pred, mapping: DataFrame, keys)
     `covered` tells whether the label has a type.  Labels and the total come from one pass.
     """
     # The recall of a label only sees its own annotations: the label is part of the match.
-    own = gold.join(F.broadcast(mapping.filter("type is not null")), "label").select(
+    own = gold.join(mapping.filter("type is not null"), "label").select(
         *keys, "start", "end", F.concat_ws("|", "label", "type").alias("label")
     )
     labels = mapping.filter("type is not null").select("type", F.concat_ws("|", "label", "type").alias("_l"))
-    asked = pred.join(F.broadcast(labels), F.col("label") == F.col("type")).select(
+    asked = pred.join(labels, F.col("label") == F.col("type")).select(
         *keys, "start", "end", F.col("_l").alias("label")
     )
     found = by_label(overlap_counts(own, asked, keys)).select(
         F.split_part(F.col("label"), F.lit("|"), F.lit(1)).alias("label"), recall().alias("recall")
     )
-    leaked = leaked_annotations(documents, keys).join(F.broadcast(mapping), "label", "left")
+    leaked = leaked_annotations(documents, keys).join(mapping, "label", "left")
     sets = leaked.groupBy("label", "type").agg(
         F.count("*").alias("n"), F.count_if("leaked").alias("leaks")
     )
@@ -273,7 +273,7 @@ def overall(by_source: DataFrame) -> DataFrame:
 def unmatched_types(gold: DataFrame, pred: DataFrame, mapping: DataFrame, keys) -> DataFrame:
     """Predicted types no label maps to: detections, and how many touch annotated data."""
     types = mapping.filter("type is not null").select(F.col("type").alias("label")).distinct()
-    other = pred.join(F.broadcast(types), "label", "left_anti")
+    other = pred.join(types, "label", "left_anti")
     return touches(other, gold, keys).groupBy("label").agg(
         F.count("*").alias("detections"), F.count_if("touches").alias("overlapping_gold")
     )
@@ -328,7 +328,7 @@ def tool_labels(pred: DataFrame, mapping: DataFrame) -> DataFrame:
     The mapping holds every type the tool can return: see `unknown_labels`.
     """
     types = mapping.select("label", F.col("type").alias("_type"))
-    return pred.join(F.broadcast(types), "label", "left").withColumn(
+    return pred.join(types, "label", "left").withColumn(
         "label", F.coalesce("_type", "label")
     ).drop("_type")
 

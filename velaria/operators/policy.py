@@ -24,8 +24,8 @@ def policy_table(spark: SparkSession, version: str, policy: dict[str, str]) -> D
 
 
 def apply_policy(spans: DataFrame, policy: DataFrame) -> DataFrame:
-    """`spans` plus `action`.  A policy has one row per type (21), so it is broadcast."""
-    actions = F.broadcast(policy.select("type", "action"))
+    """`spans` plus `action`.  A policy has one row per type (21); Spark broadcasts it by its size."""
+    actions = policy.select("type", "action")
     return spans.join(actions, "type", "left").withColumn(
         "action", F.coalesce("action", F.lit(HIDE))
     )
