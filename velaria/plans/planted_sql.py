@@ -68,10 +68,9 @@ def mod11_10_digit(body):
 
 def dni(s):
     n = digits(s, 1, 8)
-    letter = dni_letter(n)
     return (
-        f"(case {draw(s, 2, 3)} when 0 then {n} || {letter} when 1 then {n} || '-' || {letter} "
-        f"else substr({n}, 1, 2) || '.' || substr({n}, 3, 3) || '.' || substr({n}, 6, 3) || '-' || {letter} end)"
+        f"(case {draw(s, 2, 4)} when 3 then substr({n}, 1, 2) || '.' || substr({n}, 3, 3) || '.' || substr({n}, 6, 3) "
+        f"else {n} end || {pick(s, 2, ('', ' ', '-', ''))} || {dni_letter(n)})"
     )
 
 
@@ -85,13 +84,9 @@ def wrong_dni(s):
 
 
 def nie(s):
-    kind, body = draw(s, 5, 3), digits(s, 6, 7)
-    letter = dni_letter(f"(cast({kind} as varchar) || {body})")
-    prefix = f"substr('XYZ', cast({kind} as int) + 1, 1)"
-    return (
-        f"(case when {draw(s, 7, 10)} < 7 then {prefix} || {body} || {letter} "
-        f"else {prefix} || '-' || {body} || '-' || {letter} end)"
-    )
+    first, body, sign = draw(s, 5, 3), digits(s, 6, 7), pick(s, 7, ("", "-", " "))
+    letter = dni_letter(f"(cast({first} as varchar) || {body})")
+    return f"(substr('XYZ', cast({first} + 1 as int), 1) || {sign} || {body} || {sign} || {letter})"
 
 
 def nif_klm(s):
@@ -147,24 +142,19 @@ def iban_es(s):
 
 
 def card(s):
-    prefix = pick(s, 21, ("4", "51", "55", "37", "6011"))
-    size = f"(case when {prefix} = '37' then 15 else 16 end)"
-    body = f"({prefix} || substr({digits(s, 22, 14)}, 1, {size} - length({prefix}) - 1))"
+    head = pick(s, 21, tuple(b.CARD_HEADS))
+    size = f"(case when {head} = '34' then 15 else 16 end)"
+    body = f"({head} || substr({digits(s, 22, 14)}, 1, {size} - length({head}) - 1))"
     n = f"({body} || cast({luhn_digit(body)} as varchar))"
-    return (
-        f"(case when {draw(s, 23, 2)} = 0 then {n} when {size} = 15 then substr({n}, 1, 4) || ' ' || "
-        f"substr({n}, 5, 6) || ' ' || substr({n}, 11, 5) else {fours(n, 4)} end)"
-    )
+    return f"(case when {draw(s, 23, 3)} = 0 then {n} else {fours(n, 4)} end)"
 
 
 def phone(s):
-    first = pick(s, 24, ("6", "7", "91", "93", "96"))
-    n = f"({first} || substr({digits(s, 25, 8)}, 1, 9 - length({first})))"
+    n = f"({pick(s, 24, ('61', '72', '94', '98', '85'))} || {digits(s, 25, 7)})"
     return (
-        f"(case {draw(s, 26, 4)} when 0 then {n} "
-        f"when 1 then substr({n}, 1, 3) || ' ' || substr({n}, 4, 3) || ' ' || substr({n}, 7, 3) "
-        f"when 2 then '+34 ' || substr({n}, 1, 3) || ' ' || substr({n}, 4, 2) || ' ' || substr({n}, 6, 2) "
-        f"|| ' ' || substr({n}, 8, 2) else '0034 ' || {n} end)"
+        f"({pick(s, 27, ('', '+34 ', '0034 '))} || case {draw(s, 26, 3)} when 0 then {n} "
+        f"when 1 then substr({n}, 1, 3) || '.' || substr({n}, 4, 3) || '.' || substr({n}, 7, 3) "
+        f"else substr({n}, 1, 3) || ' ' || substr({n}, 4, 2) || ' ' || substr({n}, 6, 2) || ' ' || substr({n}, 8, 2) end)"
     )
 
 
@@ -177,7 +167,7 @@ def surname(s):
 
 
 def email(s):
-    local = f"translate(lower({pick(s, 29, b.FIRST_NAMES)} || '.' || {pick(s, 30, b.SURNAMES)}), 'íú', 'iu')"
+    local = f"translate(lower({pick(s, 30, b.SURNAMES)} || '_' || {pick(s, 29, b.FIRST_NAMES)}), '{b.ACCENTS}', '{b.PLAIN}')"
     return f"({local} || cast({draw(s, 31, 99)} + 1 as varchar) || '@' || {pick(s, 32, b.DOMAINS)})"
 
 
@@ -259,7 +249,7 @@ OTHERS = {
     "four": lambda s: f"cast({draw(s, 80, 9000)} + 1000 as varchar)",
     "company": lambda s: pick(s, 81, b.COMPANIES),
     "amount": lambda s: f"cast({draw(s, 82, 2601)} + 900 as varchar)",
-    "mostra": lambda s: f"('Carrer de la Mostra ' || cast({draw(s, 83, 90)} + 1 as varchar))",
+    "font": lambda s: f"('Carrer de la Font ' || cast({draw(s, 83, 90)} + 1 as varchar))",
     "eight": lambda s: digits(s, 84, 8),
     "six": lambda s: digits(s, 85, 6),
     "invoice_date": lambda s: (
