@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import ipaddress
 import json
 import random
 import zlib
@@ -171,3 +172,34 @@ def test_cut_and_malformed_streams_end_in_one_error():
     assert [row[3] for row in out if row[3]] == ["upstream_stream_cut"]
     out = _play(['data: {"choices":[{"index":0.0,"delta":{}}]}\n\n', "data: [DONE]\n\n"])
     assert [row[3] for row in out if row[3]] == ["bad_upstream_response"]
+
+
+def test_address_buckets_equal_the_standard_library(spark):
+    def plain(text):
+        try:
+            address = ipaddress.ip_address(text)
+        except ValueError:
+            return text
+        if address.version == 6 and address.ipv4_mapped is None:
+            return str(ipaddress.ip_network((int(address), 64), strict=False))
+        return str(getattr(address, "ipv4_mapped", None) or address)
+
+    texts = [
+        "10.0.0.7", "010.0.0.1", "::ffff:10.0.0.7", "0:0:0:0:0:FFFF:a00:7", "::", "::1", "2001:DB8::1", "1:2:3:4:5:6:7::",
+        "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "1::2::3", ":1:2", "2001:0:0:5::9", "2001:0db8:0:0:1::", "fe80::1%eth0",
+        "::1.2.3.4", "1.2.3.4:80", "::ffff:1.2.3.400", "gg::1", "", "x", "1:2:3:4:5:6:1.2.3.4", "12345::", "a" * 90 + "::",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r.t: r.b for r in rows.select("t", feed.address_bucket(F.col("t")).alias("b")).collect()}
+    assert got == {t: plain(t) for t in texts} | {None: None}
+
+
+def test_layers_of_literals_and_escapes(spark):
+    rows = spark.createDataFrame(
+        [(1, '{"a": ["x\\u0041"], "b"'), (2, "p\\nq"), (3, None), (4, ""), (5, 'say "k\\q" now')], "id int, t string"
+    )
+    got = {(r.id, r.t) for r in secrets.text_layers(rows, ["id"], "t", 1).collect() if r.t is not None}
+    assert got == {
+        (1, '{"a": ["x\\u0041"], "b"'), (1, "a"), (1, "xA"), (1, "b"), (2, "p\\nq"), (2, "p\nq"), (4, ""),
+        (5, 'say "k\\q" now'), (5, "k\\q"),
+    }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -98,30 +99,20 @@ def pieces_under_budget(counts: pd.Series, budget: pd.Series, overlap: pd.Series
     half the budget.
     """
 
-    def cut(sizes, limit, shared_words):
-        if sizes is None:
+    def ranges(sizes, limit, shared_words):
+        if sizes is None or limit < 1 or max(sizes, default=0) > limit:
             return None
-        sizes = list(sizes)
-        if limit < 1 or any(size > limit for size in sizes):
-            return None
-        out, first = [], 0
-        while first < len(sizes):
-            total, last = 0, first
-            while last < len(sizes) and total + sizes[last] <= limit:
-                total, last = total + sizes[last], last + 1
+        # Tokens before each word: a range's ends are searches in sorted numbers.
+        before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        out, first, words = [], 0, len(sizes)
+        while first < words:
+            last = int(np.searchsorted(before, before[first] + limit, "right")) - 1
             out.append({"first": first, "last": last})
-            if last == len(sizes):
-                return out
-            # Walk back from the end while the shared words fit in half the budget.
-            first, shared = last, 0
-            for back in range(last - 1, max(out[-1]["first"], last - shared_words - 1), -1):
-                shared += sizes[back]
-                if shared > limit // 2:
-                    break
-                first = back
+            half = int(np.searchsorted(before, before[last] - limit // 2))
+            first = words if last == words else max(first + 1, last - shared_words, half)
         return out
 
-    return pd.Series([cut(c, b, o) for c, b, o in zip(counts, budget, overlap)])
+    return pd.Series([ranges(*row) for row in zip(counts, budget, overlap)])
 
 
 def distinct_texts(texts: DataFrame, text: str = "text") -> DataFrame:

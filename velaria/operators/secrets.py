@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ MASK = "*•·.…"
 ELLIPSIS = "…"
 MAX_JOINED = 4
 LAYERS = 3
+LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
 
 
 def _grams(text: Column, size: int, step: int = 1) -> Column:
@@ -156,41 +158,30 @@ def split_over_values(values: DataFrame, keys: DataFrame, request: str = "reques
     return met.filter(F.contains("text", F.col("key"))).select(request).unionByName(many).distinct()
 
 
+def _undone(written: str) -> str:
+    """A literal's text; one with a broken escape as it stands, so that nothing in it goes unread."""
+    try:
+        return json.loads(f'"{written}"', strict=False)
+    except ValueError:
+        return written
+
+
+def _literals(value: str) -> set[str]:
+    """Texts of the string literals in `value`, in JSON or not, and `value` itself unescaped."""
+    found = {_undone(match[1]) for match in LITERAL.finditer(value)}
+    if "\\" in value and LITERAL.fullmatch(f'"{value}"'):
+        found.add(_undone(value))
+    return found - {value}
+
+
 def text_layers(texts: DataFrame, ids, text: str = "text", layers: int = LAYERS) -> DataFrame:
-    """Each text, the strings of any JSON in it and its escapes undone, three layers down."""
+    """Each text, and the string literals in it with their escapes undone, `layers` deep."""
 
     def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def strings(node):
-            stack = [node]
-            while stack:
-                n = stack.pop()
-                if isinstance(n, str):
-                    yield n
-                elif isinstance(n, dict):
-                    stack.extend(n.keys())
-                    stack.extend(n.values())
-                elif isinstance(n, list):
-                    stack.extend(n)
-
-        def loads(value):
-            try:
-                return json.loads(value)
-            except (ValueError, RecursionError):
-                return None
-
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                value, key = getattr(row, text), [getattr(row, i) for i in ids]
-                if value is None:
-                    continue
-                if value.lstrip()[:1] in ("{", "[", '"'):
-                    out.extend((*key, s) for s in strings(loads(value)))
-                if "\\" in value:
-                    undone = loads('"' + value + '"')
-                    if isinstance(undone, str) and undone != value:
-                        out.append((*key, undone))
-            yield pd.DataFrame(out, columns=[*ids, text])
+            values = batch[text]
+            inner = values.where(values.isna(), values.map(lambda v: sorted(_literals(v)), na_action="ignore"))
+            yield batch.assign(**{text: inner}).explode(text).dropna(subset=[text])[[*ids, text]]
 
     fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in (*ids, text))
     level = texts.select(*ids, text)
