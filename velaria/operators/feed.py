@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from velaria.functions import tables
+from velaria.functions.spans import let
 from velaria.operators.resolve import order_of, type_order
 
 # --- Fixed values: the closed sets of the feed ------------------------------------------------
@@ -188,38 +189,51 @@ def minute_totals(events: DataFrame) -> DataFrame:
 def address_bucket(address: Column) -> Column:
     """An IPv4 address (mapped ones too), the /64 of an IPv6 one, or the text itself."""
     octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    four = rf"{octet}(?:\.{octet}){{3}}"
+    dotted_end = rf"(?<=:){octet}(?:\.{octet}){{3}}$"
 
-    def pair(numbers, at):
-        high, low = (F.get(numbers, F.lit(i)).try_cast("int") for i in (at, at + 1))
-        return F.lower(F.hex(high * 256 + low))
+    def hexed(text):
+        """A dotted end as two groups."""
+
+        def group(numbers, at):
+            high, low = (F.get(numbers, F.lit(i)).try_cast("int") for i in (at, at + 1))
+            return F.lower(F.hex(high * 256 + low))
+
+        numbers = F.split(F.regexp_extract(text, dotted_end, 0), r"\.")
+        end = let(numbers, lambda n: F.concat_ws(":", group(n, 0), group(n, 2)))
+        return F.when(F.rlike(text, F.lit(dotted_end)), F.concat(F.regexp_replace(text, dotted_end, ""), end)).otherwise(text)
 
     def groups(text):
         return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
 
-    # Eight groups: a dotted end is two of them, and "::" stands for as many zeros as are missing.
-    zone_free = F.regexp_replace(address, r"(?<=:.{0,60})%[^%]+$", "")
-    dotted = F.split(F.regexp_extract(zone_free, rf"(?<=:){four}$", 0), r"\.")
-    hexed = F.concat(F.regexp_replace(zone_free, rf"(?<=:){four}$", ""), pair(dotted, 0), F.lit(":"), pair(dotted, 2))
-    plain = F.lower(F.when(F.rlike(zone_free, F.lit(rf":{four}$")), hexed).otherwise(zone_free))
-    halves = F.split(plain, "::")
-    left, right = groups(halves[0]), groups(F.get(halves, F.lit(1)))
-    missing = 8 - F.size(left) - F.size(right)
-    filled = F.when(F.size(halves) == 1, left).when(
-        (F.size(halves) == 2) & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right)
-    )
-    short = F.transform(filled, lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
-    valid = (F.size(filled) == 8) & F.forall(filled, lambda g: F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
-    mapped = F.array_join(F.slice(short, 1, 6), ":") == "0:0:0:0:0:ffff"
-
-    def bytes_of(group):
-        number = F.conv(F.substring(group, 1, 4), 16, 10).try_cast("int")
-        return F.concat_ws(".", F.floor(number / 256).cast("string"), (number % 256).cast("string"))
-
-    v4 = F.concat_ws(".", bytes_of(F.get(short, F.lit(6))), bytes_of(F.get(short, F.lit(7))))
-    network = F.concat(F.regexp_replace(F.array_join(F.slice(short, 1, 4), ":"), "(?:^|:)0(?::0)*$", ""), F.lit("::/64"))
-    is_six = F.contains(address, F.lit(":")) & F.coalesce(valid, F.lit(False))
-    return F.when(is_six & mapped, v4).when(is_six, network).otherwise(address)
+    def filled(halves):
+        """Eight groups: "::" stands for as many zeros as are missing."""
+        if_two = let(
+            F.struct(groups(halves[0]).alias("left"), groups(F.get(halves, F.lit(1))).alias("right")),
+            lambda h: let(
+                8 - F.size(h["left"]) - F.size(h["right"]),
+                lambda n: F.when(n > 0, F.concat(h["left"], F.array_repeat(F.lit("0"), n), h["right"])),
+            ),
+        )
+        return F.when(F.size(halves) == 1, groups(halves[0])).when(F.size(halves) == 2, if_two)
+
+    def written(all_groups):
+        valid = (F.size(all_groups) == 8) & F.forall(all_groups, lambda g: F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
+        short = F.transform(all_groups, lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+        return F.when(F.coalesce(valid, F.lit(False)), let(short, named)).otherwise(address)
+
+    def named(short):
+        def two(at):
+            number = F.conv(F.get(short, F.lit(at)), 16, 10).try_cast("int")
+            return let(number, lambda n: F.concat_ws(".", F.floor(n / 256).cast("string"), (n % 256).cast("string")))
+
+        mapped = F.array_join(F.slice(short, 1, 6), ":") == "0:0:0:0:0:ffff"
+        head = F.regexp_replace(F.array_join(F.slice(short, 1, 4), ":"), "(?:^|:)0(?::0)*$", "")
+        return F.when(mapped, F.concat_ws(".", two(6), two(7))).otherwise(F.concat(head, F.lit("::/64")))
+
+    without_zone = F.regexp_replace(address, r"(?<=:.{0,60})%[^%]+$", "")
+    halves = let(without_zone, lambda t: F.split(F.lower(hexed(t)), "::"))
+    six = let(let(halves, filled), written)
+    return F.when(F.contains(address, F.lit(":")), six).otherwise(address)
 
 
 def failure_bursts(attempts: DataFrame, bucket: str = "bucket", at: str = "at") -> DataFrame:
