@@ -203,3 +203,46 @@ def test_layers_of_literals_and_escapes(spark):
         (1, '{"a": ["x\\u0041"], "b"'), (1, "a"), (1, "xA"), (1, "b"), (2, "p\\nq"), (2, "p\nq"), (4, ""),
         (5, 'say "k\\q" now'), (5, "k\\q"),
     }
+
+
+def test_held_text_of_any_length_and_both_formats():
+    long = "a" * 80
+    values = {f"{long.upper()}_1": "V", "ES_DNI_1": 'q"'}
+    assert relay.settled("x [[" + long, values) == 2
+    assert relay.settled("x [[" + long + "b", values) == len(long) + 5
+    assert relay.settled("x [[[", {}) == 3
+
+    def block(kind, **more):
+        return f"event: {kind}\ndata: " + json.dumps({"type": kind, **more}) + "\n\n"
+
+    text = (
+        block("content_block_start", index=0, content_block={"type": "text", "text": ""})
+        + block("content_block_delta", index=0, delta={"type": "text_delta", "text": "say [[es_dni"})
+        + block("content_block_delta", index=0, delta={"type": "text_delta", "text": "_1 ]]!"})
+        + block("content_block_stop", index=0)
+        + block("content_block_start", index=1, content_block={"type": "tool_use", "input": {}})
+        + block("content_block_delta", index=1, delta={"type": "input_json_delta", "partial_json": '{"d": "[[ES_D'})
+        + block("content_block_delta", index=1, delta={"type": "input_json_delta", "partial_json": 'NI_1]]"}'})
+        + block("content_block_stop", index=1) + block("message_stop")
+    )
+    for size in (1, 7, 400):
+        state, out = relay.new_state(), []
+        for chunk in [*(text[i : i + size] for i in range(0, len(text), size)), None]:
+            out += relay.step(state, "anthropic", chunk, values)
+        deltas = [json.loads(line[6:]).get("delta", {}) for row in out for line in row[1].splitlines() if line.startswith("data: ")]
+        assert "".join(d.get("text", "") for d in deltas) == 'say q"!'
+        assert "".join(d.get("partial_json", "") for d in deltas) == '{"d": "q\\""}'
+        assert not any(row[3] for row in out) and not state["slots"]
+
+
+def test_what_was_restored_before_a_failure_is_given_out():
+    chunk = "".join(
+        "data: " + json.dumps({"choices": [{"index": 0, "delta": {"content": text}}, *more]}) + "\n\n"
+        for text, more in (("a [[ES_DNI_1]]", []), (" b [[ES", [{"index": "x"}]))
+    )
+    out = relay.step(relay.new_state(), "openai", chunk, {"ES_DNI_1": "V"})
+    lines = [line[6:] for row in out for line in row[1].splitlines() if line]
+    said = [c["delta"]["content"] for line in lines for c in json.loads(line)["choices"]]
+    assert "".join(said) == "a V b [[ES" and out[-1][3] == "bad_upstream_response"
+    long = relay.step(relay.new_state(), "openai", "data: " + "x" * 50, {}, most=20)
+    assert long[-1][3] == "stream_limit_exceeded"
