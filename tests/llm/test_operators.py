@@ -157,6 +157,34 @@ def test_pieces_like_the_library():
         assert ids[of[i] : of[i + 1]].tolist() == [*e.ids, 7]
 
 
+def test_added_tokens_like_the_library_as_loaded(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
+    rng = random.Random(5)
+    pool = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "\n", "a", "é", "'s", "12", "word"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "none", "", *["".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(500)]]
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for array in (pa.array(texts), pa.array(["x", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        ids, of = encoder.encode(array, 7)
+        assert len(of) == len(texts) + 1
+        for i, w in enumerate(want):
+            assert ids[of[i] : of[i + 1]].tolist() == [*w, 7]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:40])], "doc_id long, text string").repartition(2)
+    for r in packing.pack_texts(rows, tokens.tokenizer_path()).collect():
+        ids = np.array([*want[r["doc_id"]], 0], "<u4")
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+    at = 0
+    found = {r["doc_id"]: r for r in rans.documents_in(*rans.archive(rows, tokens.tokenizer_path())).collect()}
+    assert {d: r["ids_crc32"] for d, r in found.items()} == {d: zlib.crc32(np.array([*want[d], 2], "<u4").tobytes()) for d in range(40)}
+    for r in sorted(found.values(), key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += len(want[r["doc_id"]]) + 1
+
+
 @pytest.mark.parametrize("many_pairs", [2000, 0])
 def test_near_duplicates(docs, nothing, many_pairs):
     rows = minhash.near_duplicates(docs, many_pairs=many_pairs).collect()

@@ -2,16 +2,20 @@
 
 The tokenizer cuts a text into pieces (runs of letters, digits, signs or white space, each with at most
 one space before it) and encodes each piece by itself.  Here numpy cuts the pieces by the same rule, and
-the library's model encodes those a worker has not met yet; ids of a text are then looked up.
+the library's model encodes those a worker has not met yet; ids of a text are then looked up.  Texts are
+cut at the contents of added tokens first, as the library does.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import sys
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from velaria.llm.common import span_hashes, text_bytes
 
@@ -135,6 +139,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.names = _byte_names()
+        added = json.loads(self.tokenizer.to_str())["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that look at what stands around them are not built")
+        self.added = {t["content"]: t["id"] for t in added}
+        # Of contents that begin at one place the longest counts.
+        self.added_at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self._clear()
 
     def _clear(self) -> None:
@@ -145,6 +155,28 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, each row closed by `end_id`; where each row begins."""
+        parts, closing, of = self._parts(texts, end_id)
+        ids, where = self._encode_parts(parts, closing)
+        return ids, where if of is None else where[of]
+
+    def _parts(self, texts: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray | int, np.ndarray | None]:
+        """Texts without added tokens, the id after each, and where each row's begin (None: every row is one)."""
+        holds = np.zeros(len(texts), bool)
+        for content in self.added:
+            holds |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return texts, end_id, None
+        parts, closing, count, at = [], [], np.ones(len(texts), np.int64), 0
+        for row in np.flatnonzero(holds).tolist():
+            cut = self.added_at.split(texts[row].as_py())
+            parts += [texts.slice(at, row - at), pa.array(cut[::2], texts.type)]
+            closing += [np.full(row - at, end_id), [self.added[c] for c in cut[1::2]], [end_id]]
+            count[row], at = len(cut[::2]), row + 1
+        parts.append(texts.slice(at))
+        closing.append(np.full(len(texts) - at, end_id))
+        return pa.concat_arrays(parts), np.concatenate(closing).astype(np.uint32), np.concatenate([[0], np.cumsum(count)])
+
+    def _encode_parts(self, texts: pa.Array, closing: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         raw, offsets = text_bytes(texts)
         begin = piece_starts(raw, offsets)
         lengths = np.diff(np.append(begin, len(raw)))
@@ -162,7 +194,7 @@ class Encoder:
         for k in range(int(per_piece.max(initial=0))):
             more = np.flatnonzero(per_piece > k) if k else slice(None)
             out[target[more] + k] = self.ids[place[back[more]] + k]
-        out[where[1:] - 1] = end_id
+        out[where[1:] - 1] = closing
         return out, where
 
     def _look_up(self, raw, begin, lengths, distinct, first) -> tuple[np.ndarray, np.ndarray]:
