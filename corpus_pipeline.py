@@ -1,7 +1,7 @@
 """Documents made ready for training: each stage works on all that the one before kept.
 
 1. quality rules: documents that fail the base rules or leave their language's perplexity band go
-2. near duplicates: of each component the document with the smallest id stays
+2. near duplicates at a similarity of 0.8 or more: of each component the document with the smallest id stays
 3. benchmark decontamination: documents with enough words in benchmark windows go
 4. secrets: found spans are replaced in the text, and n_chars is counted anew; every document stays
 5. packing: the result is every piece with its sequence and place
@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from velaria.llm import common, credentials, decontaminate, minhash, packing, perplexity, tokens
 
+#: Near copies of the stage; op5 has a threshold of its own.
+SIMILAR = (80, 100)
+
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Whole rows in one column beside those an operator reads, so that no name can clash."""
@@ -31,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = minhash.near_duplicates(docs)
+    judged = minhash.near_duplicates(docs, threshold=SIMILAR)
     gone = common.written(judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "gone")
     # Texts that are surely not among those that go aren't shuffled.
     bitmap = minhash.bitmap_of(gone)

@@ -10,7 +10,8 @@
    that could join components is left out.  In buckets with many such pairs the sets are compared where
    the pairs meet, and only links come out; elsewhere pairs with a high estimate go to the confirmation.
 
-With 48 bands of 8 rows a pair at similarity 0.85 shares no band with probability below 3e-7.
+Bands follow from the threshold, so that a pair at it shares no band with probability below 3e-7: 48 of 8 rows
+for 0.85, 64 of 7 for 0.80.
 Shingles are 64-bit hashes of five words; a text of fewer words is one shingle, one without words has
 none and is linked with nothing.  Null text has no words.  Rows with a null id take part as copies only
 (their component is their class's); repeated rows get equal results; classes with the same smallest id
@@ -19,6 +20,9 @@ count as linked.  An empty table gives an empty result; input columns named like
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -26,15 +30,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from velaria.llm import common
 
 WORDS = 5
-BANDS, ROWS = 48, 8
 BITS = 2
-HASHES = BANDS * ROWS
 PER_LONG = 64 // BITS
-LONGS = HASHES // PER_LONG
+MISSED, MOST_HASHES = 3e-7, 448
 SET_KEY = ["n_shingles", "key_a", "key_b"]
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Bands(NamedTuple):
+    """How signatures are made and read for a threshold."""
+
+    count: int
+    rows: int
+    hashes: int
+    least_estimate: float
+
+    @classmethod
+    def of(cls, threshold: tuple[int, int]) -> Bands:
+        """The longest bands that need `MOST_HASHES` at most; estimates from five standard errors under the threshold on count."""
+        s = threshold[0] / threshold[1]
+        if not 0 < s < 1:
+            raise ValueError("a threshold lies between 0 and 1")
+        needed = lambda rows: math.ceil(math.log(MISSED) / math.log1p(-(s**rows)))
+        rows = 1
+        while needed(rows + 1) * (rows + 1) <= MOST_HASHES:
+            rows += 1
+        hashes = -(-needed(rows) * rows // PER_LONG) * PER_LONG
+        chance = 1 / (1 << BITS)
+        agree = s + (1 - s) * chance
+        error = math.sqrt(agree * (1 - agree) / hashes) / (1 - chance)
+        return cls(needed(rows), rows, hashes, math.floor(100 * (s - 5 * error)) / 100)
+
+
 def shingle_sets(words: common.Words, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every row, ascending within it; where each row's begin."""
     h, of, count = words.hashes(), words.of, words.counts()
@@ -75,24 +102,24 @@ def _odd(n: int) -> np.ndarray:
     return (common.splitmix(np.arange(1, n + 1, dtype=np.uint64) * _GOLDEN) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def minima(sets: np.ndarray, of: np.ndarray) -> np.ndarray:
+def minima(sets: np.ndarray, of: np.ndarray, hashes: int) -> np.ndarray:
     """The least of each hash function over each row's set; rows without shingles get zeros."""
     low, high = sets.astype(np.uint32), (sets >> np.uint64(32)).astype(np.uint32)
     some = np.flatnonzero(np.diff(of))
-    out = np.zeros((len(of) - 1, HASHES), np.uint32)
+    out = np.zeros((len(of) - 1, hashes), np.uint32)
     if len(some):
         begin, mixed = of[:-1][some], np.empty_like(low)
-        for i, odd in enumerate(_odd(HASHES)):
+        for i, odd in enumerate(_odd(hashes)):
             np.multiply(low, odd, out=mixed)
             mixed += high
             out[some, i] = np.minimum.reduceat(mixed, begin)
     return out
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _GOLDEN, len(least), 0)
-    for r in range(ROWS):
-        keys = common.splitmix(keys ^ least[:, r::ROWS].astype(np.uint64)) + _GOLDEN
+def band_keys(least: np.ndarray, bands: Bands) -> np.ndarray:
+    keys = np.repeat(np.arange(1, bands.count + 1, dtype=np.uint64)[None, :] * _GOLDEN, len(least), 0)
+    for r in range(bands.rows):
+        keys = common.splitmix(keys ^ least[:, r : bands.count * bands.rows : bands.rows].astype(np.uint64)) + _GOLDEN
     return keys.view(np.int64)
 
 
@@ -100,23 +127,23 @@ def low_bits(least: np.ndarray) -> np.ndarray:
     """The low bits of the minima, each mixed by a bijection first, packed in longs."""
     bits = common.splitmix(least.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
     shift = np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)
-    return np.bitwise_or.reduce(bits.reshape(len(least), LONGS, PER_LONG) << shift, axis=2).view(np.int64)
+    return np.bitwise_or.reduce(bits.reshape(len(least), -1, PER_LONG) << shift, axis=2).view(np.int64)
 
 
-def signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def signatures(df: DataFrame, bands: Bands, text: str = "text", key: str = "doc_id") -> DataFrame:
     def make():
         def chunk(texts: pa.Array, extras: dict) -> list[pa.Array]:
             sets, of = shingle_sets(common.words_of(texts, lower=True))
             a, b = _set_keys(sets, of)
-            least = minima(sets, of)
+            least = minima(sets, of, bands.hashes)
             rows = len(texts)
             return [
                 extras[key].cast(pa.int64()),
                 pa.array(np.diff(of)),
                 pa.array(a),
                 pa.array(b),
-                common.listed(band_keys(least).reshape(-1), np.arange(rows + 1) * BANDS),
-                common.listed(low_bits(least).reshape(-1), np.arange(rows + 1) * LONGS),
+                common.listed(band_keys(least, bands).reshape(-1), np.arange(rows + 1) * bands.count),
+                common.listed(low_bits(least).reshape(-1), np.arange(rows + 1) * (bands.hashes // PER_LONG)),
             ]
 
         return chunk
@@ -125,18 +152,18 @@ def signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return common.map_text(df, text, new, make, keep=[], extra=(key,))
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, hashes: int) -> Column:
     """Similarity from packed bits: agreeing fields, less those that agree by chance."""
     field = F.lit(sum(1 << (BITS * i) for i in range(PER_LONG)) - (1 << 64 if BITS == 1 else 0))
     differ = F.lit(0)
-    for k in range(LONGS):
+    for k in range(hashes // PER_LONG):
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
         spread = x
         for i in range(1, BITS):
             spread = spread.bitwiseOR(F.shiftrightunsigned(x, i))
         differ = differ + F.bit_count(spread.bitwiseAND(field))
     chance = 1 / (1 << BITS)
-    return ((F.lit(1.0) - differ / HASHES) - chance) / (1 - chance)
+    return ((F.lit(1.0) - differ / hashes) - chance) / (1 - chance)
 
 
 # ------------------------------------------------------------------------ components
@@ -233,12 +260,12 @@ def _merge(links: DataFrame, comp: DataFrame | None) -> DataFrame:
     return components(links if comp is None else links.union(comp.select(F.col("node"), F.col("component"))))
 
 
-def _first_shared(a: Column, b: Column) -> Column:
+def _first_shared(a: Column, b: Column, bands: int) -> Column:
     """The first band in which two texts agree."""
-    return F.coalesce(*[F.when(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), F.lit(k)) for k in range(BANDS)])
+    return F.coalesce(*[F.when(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), F.lit(k)) for k in range(bands)])
 
 
-def _paired(rows: DataFrame, more: list[str], least_estimate: float, threshold: tuple[int, int] = (1, 1)) -> DataFrame:
+def _paired(rows: DataFrame, more: list[str], bands: Bands, threshold: tuple[int, int] = (1, 1)) -> DataFrame:
     """Pairs of different components that meet in a bucket and are estimated similar, each in its first bucket only."""
     names = ["rep", "component", "packed", "bands", *more]
     one = rows.select("bucket", "band", *[F.col(c).alias(f"{c}_a") for c in names])
@@ -246,8 +273,8 @@ def _paired(rows: DataFrame, more: list[str], least_estimate: float, threshold:
     return one.join(two, "bucket").where(
         (F.col("rep_a") < F.col("rep_b"))
         & (F.col("component_a") != F.col("component_b"))
-        & (estimate(F.col("packed_a"), F.col("packed_b")) >= least_estimate)
-        & (_first_shared(F.col("bands_a"), F.col("bands_b")) == F.col("band"))
+        & (estimate(F.col("packed_a"), F.col("packed_b"), bands.hashes) >= bands.least_estimate)
+        & (_first_shared(F.col("bands_a"), F.col("bands_b"), bands.count) == F.col("band"))
         & (_similar(F.col("shingles_a"), F.col("shingles_b"), threshold) if more else F.lit(True))
     )
 
@@ -257,14 +284,17 @@ def near_duplicates(
     text: str = "text",
     key: str = "doc_id",
     threshold: tuple[int, int] = (85, 100),
-    least_estimate: float = 0.74,
+    least_estimate: float | None = None,
     many_pairs: int = 2_000,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
-    Pairs estimated below `least_estimate` (five standard errors under 0.85) are not read whole.
+    Pairs estimated below `least_estimate` (by default five standard errors under the threshold) are not read whole.
     """
-    signed = common.written(signatures(df, text, key), "signatures")
+    bands = Bands.of(threshold)
+    if least_estimate is not None:
+        bands = bands._replace(least_estimate=least_estimate)
+    signed = common.written(signatures(df, bands, text, key), "signatures")
     classes = common.written(
         signed.where("n_shingles > 0")
         .groupBy(*SET_KEY)
@@ -285,7 +315,7 @@ def near_duplicates(
     near = (
         pairs.join(bits.withColumnsRenamed({"rep": "a", "packed": "p"}), "a")
         .join(bits.withColumnsRenamed({"rep": "b", "packed": "q"}), "b")
-        .where(estimate(F.col("p"), F.col("q")) >= least_estimate)
+        .where(estimate(F.col("p"), F.col("q"), bands.hashes) >= bands.least_estimate)
         .select("a", "b")
     )
     near = common.written(near.distinct(), "pairs")
@@ -301,13 +331,13 @@ def near_duplicates(
     )
     left = common.written(now.join(sizes.where("pairs > 0"), "bucket"), "open")
     full = left.join(named.select("rep", "packed", "bands"), "rep")
-    few = _paired(full.where(F.col("pairs") <= many_pairs), [], least_estimate)
+    few = _paired(full.where(F.col("pairs") <= many_pairs), [], bands)
     few = common.written(few.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
     many = left.where(F.col("pairs") > many_pairs).select("rep")
     sets = _sets_for(df, few.select(F.col("a").alias("rep")).union(few.select("b")).union(many), named, text, key)
     links = _confirmed(few, sets, threshold)
     dense = full.where(F.col("pairs") > many_pairs).join(sets, "rep")
-    inside = _paired(dense, ["shingles"], least_estimate, threshold)
+    inside = _paired(dense, ["shingles"], bands, threshold)
     links = common.written(links.union(inside.select("rep_a", "rep_b")).distinct(), "links")
     comp = _merge(links, comp)
 
