@@ -60,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = credentials.scan(_rows(docs), keep=["__row"], clean="__clean")
+    found = credentials.scan(_rows(docs), keep=["__row"], clean="__clean", words=credentials.ranked_words(docs))
     values = {c: F.col(f"__row.`{c}`") for c in docs.columns}
     values["text"] = F.col("__clean")
     if "n_chars" in values:

@@ -2,7 +2,8 @@
 
 The guess cost of a value is the least sum, over all ways to cut it in spans, of log10 of the guesses each
 span takes: a listed word by its rank, a date, a repeated run, a walk over the keyboard or a counting run,
-and brute force for single characters.  Dynamic programming over places finds it.
+and brute force for single characters.  Dynamic programming over places finds it.  Words are ranked by a short
+list of passwords, the tokenizer's vocabulary and, with `ranked_words`, the corpus itself.
 
 Null and empty texts have no spans.  Places are code points, ends exclusive.  Repeated rows get equal
 results, an empty table an empty one; input columns named like results give way.
@@ -10,15 +11,20 @@ results, an empty table an empty one; input columns named like results give way.
 
 from __future__ import annotations
 
+import collections
+import functools
 import hashlib
+import json
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
-from velaria.llm import common
+from velaria.llm import common, tokens
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -43,8 +49,10 @@ COMMON_WORDS = (
     "secure security network internet computer laptop windows linux android apple google company office house family happy "
     "the and that this with from your have for not are but was all can her his one our out you day get has him how man new"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
+WORD = re.compile(r"[^\W\d_]{3,}")
+LONGEST = 24
+#: Under the cost of eight random characters, three of which may form a run by chance (7.2).
+LEAST_COST = 7.0
 _LEET = str.maketrans("4@310$5!7", "aaeiossit")
 _DATE = re.compile(
     r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d"
@@ -66,9 +74,58 @@ def _near_keys() -> set[tuple[str, str]]:
 _NEAR = _near_keys()
 
 
-def _spans(value: str) -> dict[int, list[tuple[int, float]]]:
+@functools.cache
+def listed_ranks() -> dict[str, int]:
+    """Common passwords, then the whole words of the tokenizer's vocabulary in the order of their merges."""
+    with open(tokens.tokenizer_path(), encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    ranks: dict[str, int] = {}
+    # In byte-level vocabularies this letter stands for a space.
+    whole = (w[1:].lower() for w in sorted(vocabulary, key=vocabulary.get) if w.startswith("\u0120"))
+    for word in [*COMMON_WORDS, *whole]:
+        if word.isascii() and word.isalpha() and 3 <= len(word) <= LONGEST:
+            ranks.setdefault(word, len(ranks) + 1)
+    return ranks
+
+
+def ranked_words(df: DataFrame, text: str = "text", most: int = 50_000, least: int = 5) -> dict[str, int]:
+    """Ranks of the `most` words that most texts hold, `least` at least; values in credential contexts don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: collections.Counter[str] = collections.Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for part in common.pieces(batch, 0, common.CHUNK_BYTES):
+                texts = pc.fill_null(part.column(0), "")
+                suspects = set(_suspects(*common.text_bytes(texts)))
+                for row, body in enumerate(texts.to_pylist()):
+                    if row in suspects:
+                        body = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], body)
+                    counts.update(w for w in set(WORD.findall(body.lower())) if len(w) <= LONGEST)
+                if len(counts) > 500_000:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    counted = df.select(F.col(f"`{text}`")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    best = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).select("word").toArrow()
+    return {w: i + 1 for i, w in enumerate(best["word"].to_pylist())}
+
+
+def all_ranks(words: dict[str, int] | None) -> dict[str, int]:
+    ranks = dict(listed_ranks())
+    for word, rank in (words or {}).items():
+        ranks[word] = min(rank, ranks.get(word, rank))
+    return ranks
+
+
+def _spans(value: str, ranks: dict[str, int]) -> dict[int, list[tuple[int, float]]]:
     """For each end the spans that are cheap to guess: (start, log10 of guesses)."""
-    low, n = value.lower(), len(value)
+    # A few letters have lower case of two characters.
+    low, n = "".join(c.lower() if len(c.lower()) == 1 else c for c in value), len(value)
     out: dict[int, list[tuple[int, float]]] = {}
 
     def add(a: int, b: int, cost: float) -> None:
@@ -76,8 +133,8 @@ def _spans(value: str) -> dict[int, list[tuple[int, float]]]:
 
     for variant, extra in ((low, 0.0), (low.translate(_LEET), 0.3)):
         for a in range(n):
-            for b in range(a + 3, min(n, a + _LONGEST) + 1):
-                rank = _RANK.get(variant[a:b])
+            for b in range(a + 3, min(n, a + LONGEST) + 1):
+                rank = ranks.get(variant[a:b])
                 if rank:
                     cased = 0.0 if value[a:b] == low[a:b] else 0.3
                     add(a, b, math.log10(rank + 1) + extra + cased)
@@ -104,9 +161,9 @@ def _spans(value: str) -> dict[int, list[tuple[int, float]]]:
     return out
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation takes; a brute-forced character takes ten."""
-    spans = _spans(value)
+    spans = _spans(value, listed_ranks() if ranks is None else ranks)
     best = [0.0] * (len(value) + 1)
     for b in range(1, len(value) + 1):
         best[b] = best[b - 1] + 1.0
@@ -116,15 +173,14 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
-def find(text: str, least_cost: float = 9.0) -> list[tuple[int, int, str]]:
+def find(text: str, least_cost: float = LEAST_COST, ranks: dict[str, int] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret, by start, then kind as listed."""
     out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), m.end(), 2) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".!?)")
-        # Plain words of a language are no credentials, however long.
-        if len(value) >= 8 and not value.isalpha() and guess_cost(value) >= least_cost:
+        if len(value) >= 8 and guess_cost(value, ranks) >= least_cost:
             out.append((m.start(1), m.start(1) + len(value), 3))
     out.sort(key=lambda s: (s[0], s[2]))
     return [(a, b, KINDS[k]) for a, b, k in out]
@@ -168,12 +224,22 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, least_cost: float = 9.0, clean: str | None = None) -> DataFrame:
+def scan(
+    df: DataFrame,
+    text: str = "text",
+    keep: list[str] | None = None,
+    least_cost: float = LEAST_COST,
+    clean: str | None = None,
+    words: dict[str, int] | None = None,
+) -> DataFrame:
     """Rows with counts, digest and spans; `clean` names a further column for the text with secrets replaced
-    (null stays null)."""
+    (null stays null).  `words` are ranks beside the listed ones, such as `ranked_words` gives."""
     nothing = hashlib.sha256(b"").hexdigest()
+    shared = df.sparkSession.sparkContext.broadcast(words)
 
     def make():
+        ranks = all_ranks(shared.value)
+
         def chunk(texts: pa.Array, extras: dict) -> list[pa.Array]:
             n = len(texts)
             counts = np.zeros((3, n), np.int64)
@@ -181,7 +247,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, least
             cleaned: dict[int, str] = {}
             for row in _suspects(*common.text_bytes(texts)):
                 body = texts[row].as_py()
-                spans = find(body, least_cost)
+                spans = find(body, least_cost, ranks)
                 if spans:
                     base = [s for s in spans if s[2] != "guess"]
                     for k in range(3):

@@ -84,7 +84,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
-    return credentials.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    return credentials.scan(docs, keep=["doc_id"], words=credentials.ranked_words(docs))
 
 
 @query("op9_feistel_pseudonyms")
