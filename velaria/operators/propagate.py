@@ -1,7 +1,7 @@
 """Names found once are hidden wherever else they appear in their scope.
 
-A scope with more than 200 different names is blocked, so the names of one scope are a list of
-proven size: each text is searched once, with that list, where it is.
+The names of a scope are one list, and each text is searched once, with that list, where it is.
+With `max_names`, scopes that have more names are blocked instead.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from velaria.session import materialize
 # --- Fixed values -----------------------------------------------------------------------------
 MIN_COMPACT = 6  # from here on, names are found inside words too
 MIN_LETTERS = 3
-MAX_NAMES = 200
-ROUNDS = 8
 PLACES = ArrayType(
     StructType().add("start", IntegerType()).add("end", IntegerType()).add("type", StringType())
 )
@@ -99,7 +97,7 @@ def _long_appearances(texts: pd.Series, names: pd.Series) -> pd.Series:
 @pandas_udf(PLACES)
 def _short_appearances(texts: pd.Series, names: pd.Series, hidden: pd.Series, shown: pd.Series) -> pd.Series:
     """Shorter names as words.  A hidden character is an edge, so what is found may free more:
-    a few rounds, until nothing new is hidden.  Ranges that stay visible never become hidden.
+    rounds until nothing new is hidden.  Ranges that stay visible never become hidden.
     """
 
     def chars(ranges):
@@ -115,7 +113,8 @@ def _short_appearances(texts: pd.Series, names: pd.Series, hidden: pd.Series, sh
         def edge(i):
             return not 0 <= i < len(normal) or not normal[i].isalnum() or places[i] in masked
 
-        for _ in range(ROUNDS):
+        # Every round but the last hides characters that weren't.
+        while True:
             new = {
                 (needle, at, kind)
                 for needle, _, kind in needles
@@ -142,11 +141,13 @@ def _as_names(places: Column) -> Column:
     ).cast(SPANS_TYPE)
 
 
-def propagate(scanned: DataFrame, scope="scope_id", text="text", policy=None) -> tuple[DataFrame, DataFrame]:
+def propagate(
+    scanned: DataFrame, scope="scope_id", text="text", policy=None, max_names: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(scanned with every appearance of its hidden names, blocked scopes).
 
-    Pass a materialized scan.  Names are reduced to one list per scope (200 at most) before they
-    meet the texts, so each text is joined to one row.
+    Pass a materialized scan.  Names are reduced to one list per scope before they meet the texts,
+    so each text is joined to one row.  Scopes with more than `max_names` names are blocked (None: no scope is).
     """
     rows = scanned.select(scope, text, F.explode_outer("spans").alias("s")).filter("s is not null")
     whole = rows.filter(
@@ -158,8 +159,9 @@ def propagate(scanned: DataFrame, scope="scope_id", text="text", policy=None) ->
         scope, F.col("s.type").alias("type"), piece(F.col(text), F.col("s.start"), F.col("s.end")).alias("value")
     ).distinct()
     counted = values.groupBy(scope).agg(F.count("*").alias("n"))
-    blocked = counted.filter(F.col("n") > MAX_NAMES).select(scope, F.lit("detector_failed").alias("reason"))
-    few = counted.filter(F.col("n") <= MAX_NAMES).select(scope)
+    too_many = F.lit(False) if max_names is None else F.col("n") > max_names
+    blocked = counted.filter(too_many).select(scope, F.lit("detector_failed").alias("reason"))
+    few = counted.filter(~too_many).select(scope)
     listed = values.join(few, scope).groupBy(scope).agg(F.collect_list(F.struct("type", "value")).alias("_names"))
     named = scanned.join(listed, scope)
 
