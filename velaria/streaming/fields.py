@@ -9,41 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from velaria.operators.secrets import texts_with_keys
+from velaria.streaming.keywatch import strings
 
 
 def string_fields(events: DataFrame, stream="stream_id", order="event_no", data="data") -> DataFrame:
     """stream, order, place, path, name, value: every string of an event's JSON with its path.
 
-    An object with an integer `index` is named by it, not by its position, so the same field of
-    the same choice or block has one path in every event.
+    A text that can't be parsed is one string with an empty path.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def index_of(node):
-            value = node.get("index") if isinstance(node, dict) else None
-            ok = isinstance(value, int) and not isinstance(value, bool) and value >= 0
-            return value if ok else None
-
-        def strings(node, path, name):
-            if isinstance(node, str):
-                yield path, name, node
-            elif isinstance(node, dict):
-                index = index_of(node)
-                here = path if index is None else f"{path}[{index}]"
-                for key, value in node.items():
-                    yield from strings(value, f"{here}.{key}", key)
-            elif isinstance(node, list):
-                for i, item in enumerate(node):
-                    here = path if index_of(item) is not None else f"{path}#{i}"
-                    yield from strings(item, here, name)
-
         for batch in batches:
             rows = []
             for key, no, text in zip(batch[stream], batch[order], batch[data]):
                 try:
-                    found = list(strings(json.loads(text), "", ""))
+                    found = list(strings(json.loads(text)))
                 except (ValueError, TypeError, RecursionError):
-                    found = []
+                    # Not JSON, or nested too deep to parse: the whole text is one field, so nothing goes unread.
+                    found = [] if text is None else [("", "", text)]
                 rows.extend((key, no, i, *f) for i, f in enumerate(found))
             yield pd.DataFrame(rows, columns=[stream, order, "place", "path", "name", "value"])
 

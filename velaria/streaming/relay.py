@@ -1,8 +1,9 @@
 """Streamed answers restored as they arrive: one keyed state per stream.
 
 Chunks of a stream may be cut anywhere and may arrive late; the state holds what is half
-received, so any chunking gives the same text.  The values come from the scope's vault, joined to
-the chunks as a static side.
+received, so any chunking gives the same text.  A scope's values come once, with a stream's first
+chunk, and stay in its state.  State is typed: a value for the place in the stream, maps for values,
+early chunks, held fields and field tails, a list for the open event; only what changes is written.
 
 What an answer format carries is a tree of rules; one walk applies it to every event:
 
@@ -11,17 +12,22 @@ What an answer format carries is a tree of rules; one walk applies it to every e
 * `values` is a finished object, restored where it stands.
 
 A stream that fails ends with what was held as text and a failure code; half arguments aren't given out.
+With `keys`, an event that would complete a key, or a piece of one, is not given out and the stream fails.
+With `idle`, a timer in event time ends a stream of which nothing came for so long, as cut.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from velaria.streaming.keywatch import KeyMatcher, Watch
 
 
 # --- Fixed values: placeholders, and the names of the two answer formats -----------------------
@@ -43,6 +49,7 @@ BLOCK_DELTAS = {"text": "text_delta", "partial_json": "input_json_delta"}
 UNTOUCHED_DELTAS = ("thinking_delta", "signature_delta")
 OTHER_EVENTS = ("ping", "error", "message_start", "message_delta", "message_stop")
 MALFORMED, TOO_LONG, CUT = "bad_upstream_response", "stream_limit_exceeded", "upstream_stream_cut"
+KEY = "bad_upstream_response"
 OUTPUT = "stream_id string, event_no long, out string, unknown long, failure string"
 
 
@@ -97,7 +104,7 @@ def written(fields, data=None) -> str:
 
 def _event(name: str | None, body: dict) -> str:
     head = [["event", name]] if name else []
-    return written([*head, ["data", ""]], json.dumps(body, ensure_ascii=False))
+    return written([*head, ["data", ""]], dumped(body))
 
 
 def _data(fields) -> str | None:
@@ -105,13 +112,28 @@ def _data(fields) -> str | None:
     return "\n".join(lines) if lines else None
 
 
+#: Marks a number kept as it was written; no text that was received can hold it.
+_AS_WRITTEN = f"{uuid.uuid4().hex}:"
+_KEPT = re.compile(f'"{_AS_WRITTEN}([^"]*)"')
+
+
+def _number(written: str):
+    return int(written) if written.lstrip("-").isdigit() and str(int(written)) == written else _AS_WRITTEN + written
+
+
 def _json(text: str):
+    """Parsed text in which numbers other than plain integers are marked strings; None if it isn't JSON."""
     try:
-        return json.loads(text)
+        return json.loads(text, parse_float=_number, parse_int=_number)
     except (ValueError, RecursionError):
         return None
 
 
+def dumped(node) -> str:
+    """JSON text with all numbers as they were written."""
+    return _KEPT.sub(r"\1", json.dumps(node, ensure_ascii=False))
+
+
 # --- Text, and strings in JSON ------------------------------------------------------------------
 
 
@@ -127,13 +149,25 @@ def restored_values(node, values: dict):
     return restored(node, values) if isinstance(node, str) else node
 
 
+STRING = re.compile(r'("(?:[^"\\]|\\.)*")(\s*:)?', re.S)
+
+
 def restored_json(text: str, values: dict) -> str:
-    """Valid JSON stays valid; in anything else the values are escaped."""
+    """Strings of valid JSON are restored where they stand, names and numbers stay; elsewhere values are escaped."""
     try:
-        return json.dumps(restored_values(json.loads(text), values), ensure_ascii=False)
+        json.loads(text)
     except (ValueError, RecursionError):
         return restored(text, {token: json.dumps(value, ensure_ascii=False)[1:-1] for token, value in values.items()})
 
+    def one(match):
+        if match[2]:
+            return match[0]
+        said = json.loads(match[1])
+        new = restored(said, values)
+        return match[1] if new == said else json.dumps(new, ensure_ascii=False)
+
+    return STRING.sub(one, text)
+
 
 def settled(text: str, values: dict) -> int:
     """How much of `text` can no longer become part of an escape or of a token of `values`."""
@@ -179,7 +213,7 @@ class Walk:
     def _field(self, value, rule, slot):
         if rule == "values":
             return restored_values(value, self.values)
-        if not isinstance(value, str):
+        if not isinstance(value, str) or value.startswith(_AS_WRITTEN):
             return value
         text = self.state["slots"].get(slot, ["", ""])[1] + value
         cut = 0 if rule == "json" else settled(text, self.values)
@@ -250,7 +284,7 @@ def chat_event(state: dict, fields, raw: str, values: dict) -> tuple[str, str |
     code = MALFORMED if walk.malformed else None
     if out == body:
         return raw, code
-    return written(fields, json.dumps(out, ensure_ascii=False)) if says(out) else "", code
+    return written(fields, dumped(out)) if says(out) else "", code
 
 
 def chat_rest(state: dict, values: dict) -> str:
@@ -290,7 +324,7 @@ def block_event(state: dict, fields, raw: str, values: dict) -> tuple[str, str |
         return raw, None
     body[BLOCK_PARTS[kind]] = out
     silent = kind == "content_block_delta" and not says(out)
-    return "" if silent else written(fields, json.dumps(body, ensure_ascii=False)), None
+    return "" if silent else written(fields, dumped(body)), None
 
 
 def block_rest(state: dict, values: dict, index: int | None = None) -> str:
@@ -301,77 +335,239 @@ def block_rest(state: dict, values: dict, index: int | None = None) -> str:
     return "".join(out)
 
 
-FORMATS = {"openai": (chat_event, chat_rest), "anthropic": (block_event, block_rest)}
+def plain_event(state: dict, fields, raw: str, values: dict) -> tuple[str, str | None]:
+    """Events passed as they are."""
+    state["done"] = True
+    return raw, None
+
+
+def text_part(state: dict, fields, raw: str, values: dict) -> tuple[str, str | None]:
+    """A chunk of plain text, restored up to what may still become a placeholder."""
+    state["done"] = True
+    return Walk(state, values)(raw, "text", ("text",)), None
+
+
+def text_rest(state: dict, values: dict) -> str:
+    return "".join(text for _, text in close(state, "text", values))
+
+
+FORMATS = {
+    "openai": (chat_event, chat_rest), "anthropic": (block_event, block_rest), "events": (plain_event, lambda *_: ""),
+    "text": (text_part, text_rest),
+}
 
 
 # --- Streams ----------------------------------------------------------------------------------------
 
 
 def new_state() -> dict:
-    return {"next": 0, "late": {}, "slots": {}, "kinds": {}, "unknown": 0, "events": 0}
+    return {"next": 0, "slots": {}, "kinds": {}, "fields": [], "unknown": 0, "events": 0}
+
 
+def _bodies(out: str) -> list[str]:
+    """The data of the events in a text that is about to be given out."""
+    return [data for fields, _ in parse({}, out) if (data := _data(fields)) is not None]
 
-def step(state: dict, provider: str, chunk: str | None, values: dict, most: int | None = None) -> list[tuple]:
+
+def step(state: dict, provider: str, chunk: str | None, values: dict, most: int | None = None, watch: Watch | None = None) -> list[tuple]:
     """Rows (event_no, out, unknown, failure) of one chunk; None ends the stream."""
     if state.get("failed"):
         return []
     each, rest = FORMATS[provider]
     rows, code = [], None
+
+    def holds_key(raw: str, out: str) -> bool:
+        return watch is not None and (watch.received(raw) or (out != "" and watch.given_out(out, _bodies(out) if provider != "text" else [json.dumps(out)])))
+
     try:
-        for fields, raw in parse(state, chunk, most) if chunk is not None else ():
+        events = () if chunk is None else [(None, chunk)] if provider == "text" else parse(state, chunk, most)
+        for fields, raw in events:
             before = state["unknown"]
             out, code = each(state, fields, raw, values)
+            if holds_key(raw, out):
+                raise Failed(KEY)
             rows.append((state["events"], out, state["unknown"] - before, None))
             state["events"] += 1
             if code:
                 raise Failed(code)
         if most is not None and sum(len(text) for _, text in state["slots"].values()) > most:
             raise Failed(TOO_LONG)
-        if chunk is None and (not state.get("done") or state.get("partial") or state.get("fields")):
+        if chunk is None and provider == "text":
+            last = rest(state, values)
+            if holds_key("", last):
+                raise Failed(KEY)
+            rows.append((state["events"], last, 0, None))
+        elif chunk is None and (not state.get("done") or state.get("partial") or state.get("fields")):
             raise Failed(CUT)
     except Failed as failure:
         state["failed"] = True
         state["slots"] = {slot: held for slot, held in state["slots"].items() if held[0] == "text"}
-        rows.append((state["events"], rest(state, values), 0, failure.args[0]))
+        last = rest(state, values)
+        # What was held may be the part that completes a key: then only the failure goes out.
+        rows.append((state["events"], "" if holds_key("", last) else last, 0, failure.args[0]))
     return rows
 
 
-def relay(chunks: DataFrame, most_chars: int | None = None) -> DataFrame:
-    """Streaming `chunks` (stream_id, seq, chunk, last, provider, entries map) to restored events.
+CORE = {
+    "next": "long", "events": "long", "unknown": "long", "done": "boolean", "failed": "boolean", "started": "boolean",
+    "after_cr": "boolean", "partial": "string", "raw": "string", "envelope": "string", "provider": "string", "timer": "long",
+    "early": "int", "slots": "int", "kinds": "int", "fields": "int", "tails": "int", "values": "int",
+}
 
-    `seq` counts from 0 per stream; the row with `last` closes it, and its state goes.  State is kept
-    per stream, so streams spread over the shuffle partitions; each row out is one provider event.
-    With `most_chars`, a stream of which more characters would have to be held fails.
-    """
 
-    def by_stream(key, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(group.get[0]) if group.exists else new_state()
-        out, provider, values, closed = [], None, {}, False
-        for frame in frames:
+class Relay(StatefulProcessor):
+    """State of one stream; the counts in its core say which maps hold anything, so empty ones aren't asked."""
+
+    def __init__(self, keys: tuple[str, ...], idle: int | None, most: int | None):
+        self.keys, self.idle, self.most = keys, idle, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.core = handle.getValueState("core", ", ".join(f"`{n}` {t}" for n, t in CORE.items()))
+        maps = {
+            "values": ("token string", "value string"), "early": ("seq long", "chunk string, last boolean"),
+            "slots": ("slot string", "rule string, text string"), "kinds": ("block string", "kind string"), "tails": ("net string", "tail string"),
+        }
+        self.maps = {name: handle.getMapState(name, *schema) for name, schema in maps.items()}
+        self.fields = handle.getListState("fields", "name string, value string")
+
+    def _load(self) -> dict:
+        """The state as `step` takes it, and `_was`, what the maps held."""
+        core = dict(zip(CORE, self.core.get())) if self.core.exists() else {}
+        state = new_state() | {n: v for n, v in core.items() if v is not None and CORE[n] != "int"}
+        if core.get("envelope"):
+            state["envelope"] = _json(core["envelope"])
+        was = {}
+        for name in ("values", "slots", "kinds", "tails"):
+            items = self.maps[name].iterator() if core.get(name) else ()
+            was[name] = {k[0]: tuple(v) for k, v in items}
+        state["slots"] = {k: list(v) for k, v in was["slots"].items()}
+        state["kinds"] = {k: v[0] for k, v in was["kinds"].items()}
+        state["tails"] = {k: v[0] for k, v in was["tails"].items()}
+        state["values"] = {k: v[0] for k, v in was["values"].items()}
+        state["fields"] = [list(f) for f in self.fields.get()] if core.get("fields") else []
+        return state | {"early": core.get("early") or 0, "timer": core.get("timer"), "_was": was, "_fields": len(state["fields"])}
+
+    def _save(self, state: dict) -> None:
+        now = {
+            "slots": {k: tuple(v) for k, v in state["slots"].items()}, "kinds": {k: (v,) for k, v in state["kinds"].items()},
+            "tails": {k: (v,) for k, v in state["tails"].items()}, "values": {k: (v,) for k, v in state["values"].items()},
+        }
+        for name, held in now.items():
+            was = state["_was"][name]
+            for key in was.keys() - held.keys():
+                self.maps[name].removeKey((key,))
+            for key, value in held.items():
+                if was.get(key) != value:
+                    self.maps[name].updateValue((key,), value)
+        if state["fields"]:
+            self.fields.put([tuple(f) for f in state["fields"]])
+        elif state["_fields"]:
+            self.fields.clear()
+        sizes = {name: len(held) for name, held in now.items()} | {"fields": len(state["fields"]), "early": state["early"]}
+        envelope = dumped(state["envelope"]) if state.get("envelope") else None
+        self.core.update(tuple((state | sizes | {"envelope": envelope}).get(n) for n in CORE))
+
+    def _clear(self) -> None:
+        for timer in list(self.handle.listTimers()) if self.idle is not None else ():
+            self.handle.deleteTimer(timer)
+        for held in (self.core, self.fields, *self.maps.values()):
+            held.clear()
+
+    def _rows(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *row) for row in rows], columns=["stream_id", "event_no", "out", "unknown", "failure"])
+
+    def _watch(self, state: dict) -> Watch | None:
+        return Watch(KeyMatcher.of(self.keys), state["tails"]) if self.keys else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
+        state, came, latest = self._load(), {}, None
+        for frame in rows:
             for row in frame.itertuples(index=False):
-                provider, values = row.provider, dict(row.entries) if row.entries is not None else values
+                if row.entries is not None:
+                    state["values"].update(dict(row.entries))
+                state["provider"] = row.provider or state.get("provider")
                 if row.seq >= state["next"]:
-                    state["late"][str(row.seq)] = None if row.last else row.chunk
+                    came[row.seq] = (row.chunk, bool(row.last))
+                if self.idle is not None and not pd.isna(row.at):
+                    latest = max(latest or 0, int(pd.Timestamp(row.at).timestamp() * 1000))
+        out, watch, closed = [], self._watch(state), False
         # In order: a chunk that came early waits for the ones before it.
-        while str(state["next"]) in state["late"]:
-            chunk = state["late"].pop(str(state["next"]))
+        while not closed:
+            at = state["next"]
+            if at in came:
+                chunk, closed = came.pop(at)
+            elif state["early"] and self.maps["early"].containsKey((at,)):
+                chunk, closed = self.maps["early"].getValue((at,))
+                self.maps["early"].removeKey((at,))
+                state["early"] -= 1
+            else:
+                break
             state["next"] += 1
-            closed = closed or chunk is None
-            out.extend(step(state, provider, chunk, values, most_chars))
+            if chunk:
+                out += step(state, state["provider"], chunk, state["values"], self.most, watch)
+            if closed:
+                out += step(state, state["provider"], None, state["values"], self.most, watch)
         if closed:
-            group.remove()
+            self._clear()
         else:
-            group.update((json.dumps(state),))
-        rows = [(key[0], *row) for row in out]
-        yield pd.DataFrame(rows, columns=["stream_id", "event_no", "out", "unknown", "failure"])
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        by_stream, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout
-    )
+            for seq, held in came.items():
+                state["early"] += not (state["early"] and self.maps["early"].containsKey((seq,)))
+                self.maps["early"].updateValue((seq,), held)
+            if state.get("failed"):
+                # Nothing more goes out: what is kept only knows that the stream is over.
+                state |= {"slots": {}, "kinds": {}, "fields": [], "tails": {}, "values": {}, "partial": "", "raw": "", "envelope": None}
+            if latest is not None and latest + self.idle > (state["timer"] or 0):
+                if state["timer"]:
+                    self.handle.deleteTimer(state["timer"])
+                state["timer"] = latest + self.idle
+                self.handle.registerTimer(state["timer"])
+            self._save(state)
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Nothing came for too long: the stream ends here, and so does its state."""
+        state = self._load()
+        out = step(state, state.get("provider") or "events", None, state["values"], self.most, self._watch(state))
+        self._clear()
+        yield self._rows(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def relay(
+    chunks: DataFrame, most_chars: int | None = None, keys: tuple[str, ...] = (), idle_seconds: float | None = None, late: str = "0 seconds"
+) -> DataFrame:
+    """`chunks` (stream_id, seq, chunk, last, provider, entries map) to restored events, as a stream or as a batch.
+
+    `seq` counts from 0 per stream; the row with `last` closes it, and its state goes.  `entries` and `provider` are
+    needed on the first chunk only.  State is kept per stream, so streams spread over the shuffle partitions; each
+    row out is one provider event.  With `most_chars`, a stream of which more characters would have to be held fails.
+    `keys` (the configured ones, a short list) are not let out.  With `idle_seconds`, `chunks` also has `at`: a stream
+    ends as cut once the watermark (`late` behind the latest row) is that far beyond its last chunk; rows older
+    than the watermark are dropped, and newer rows of an ended stream count as a stream of their own.  Rows with a
+    null stream_id say nothing, but move the watermark.  Needs the RocksDB state store, which this sets.
+    """
+    spark = chunks.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = idle_seconds is not None
+    rows = chunks.withWatermark("at", late) if timed else chunks
+    names = ["stream_id", "seq", "chunk", "last", "provider", "entries", *(["at"] if timed else [])]
+    processor = Relay(tuple(keys), round(idle_seconds * 1000) if timed else None, most_chars)
+    return rows.select(*names).groupBy("stream_id").transformWithStateInPandas(processor, OUTPUT, "append", "EventTime" if timed else "None")
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over what is there now, to a table; exactly once by its checkpoint."""
+    _, out = run_and_report(stream, folder)
+    return out
+
+
+def run_and_report(stream: DataFrame, folder: str) -> tuple[list[dict], DataFrame]:
+    """The progress reports of the run, and the table."""
     spark: SparkSession = stream.sparkSession
     query = (
         stream.writeStream.format("parquet")
@@ -381,7 +577,7 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return [json.loads(p.json) for p in query.recentProgress], spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def counters(events: DataFrame) -> DataFrame:
