@@ -1,4 +1,4 @@
-"""Configured keys and their recognisable pieces, found in texts by equi-joins on short grams."""
+"""Configured keys and their recognisable pieces, found in texts by hashed grams and equi-joins on the hits."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from velaria.functions.keyfmt import secret_part
 from velaria.functions.spans import stands_in
+from velaria.operators import needles as search
+from velaria.session import stored
 
 # --- Fixed values: what counts as a piece of a key --------------------------------------------
 FRAGMENT = 10
@@ -18,8 +21,6 @@ SHOWN = 4
 ANCHOR = FRAGMENT // 2
 MASK = "*•·.…"
 ELLIPSIS = "…"
-MAX_JOINED = 4
-LAYERS = 3
 LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
 
 
@@ -29,22 +30,59 @@ def _grams(text: Column, size: int, step: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0 if step == size else 1))
 
 
+RUN, SHOWN_END, LAST, FIRST = range(4)
+
+
 def key_grams(keys: DataFrame) -> DataFrame:
-    """gram, key, secret, provider: the grams any text that holds a piece of the key must hold.
+    """key, secret, provider, kind, h: hashes of grams any text that holds a piece of the key must hold.
 
-    Every 5-gram of a secret part, and the first 4 and last 4 characters of a provider key's.
-    None comes from the public prefix, which every key shares.
+    Every 5-gram of a secret part, the first 4 and last 4 characters of a provider key's, and for a whole key
+    whose secret part is too short for a run, its last 4 characters (or its first one).
     """
     parts = keys.filter(F.col("key") != "").select("key").distinct().select(
         "key", secret_part(F.col("key")).alias("secret"), F.col("key").startswith("sk-").alias("provider")
     )
-    size = F.length("secret")
-    runs = F.when(size >= FRAGMENT, _grams(F.col("secret"), ANCHOR)).otherwise(F.array().cast("array<string>"))
+    size, none = F.length("secret"), F.array().cast("array<struct<kind:int,gram:string>>")
+
+    def grams(kind, column):
+        return F.struct(F.lit(kind).alias("kind"), column.alias("gram"))
+
+    runs = F.when(size >= FRAGMENT, F.transform(_grams(F.col("secret"), ANCHOR), lambda g: grams(RUN, g))).otherwise(none)
     ends = F.when(
         F.col("provider") & (size >= 2 * SHOWN),
-        F.array(F.substring("secret", 1, SHOWN), F.substring("secret", -SHOWN, SHOWN)),
-    ).otherwise(F.array().cast("array<string>"))
-    return parts.select("*", F.explode(F.array_distinct(F.concat(runs, ends))).alias("gram"))
+        F.array(grams(SHOWN_END, F.substring("secret", 1, SHOWN)), grams(SHOWN_END, F.substring("secret", -SHOWN, SHOWN))),
+    ).otherwise(none)
+    long = F.length("key") >= SHOWN
+    whole = F.when(
+        size < FRAGMENT,
+        F.array(F.when(long, grams(LAST, F.substring("key", -SHOWN, SHOWN))).otherwise(grams(FIRST, F.substring("key", 1, 1)))),
+    ).otherwise(none)
+    exploded = parts.select("*", F.explode(F.array_distinct(F.concat(runs, ends, whole))).alias("g"))
+    return exploded.select("key", "secret", "provider", "g.kind", search.needle_hash("g.gram", "g.kind").alias("h"))
+
+
+def _key_places(kinds: set[int]):
+    """Spans of a text that could be grams of these kinds."""
+
+    def places(codes: list[search.Codes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (text,) = codes
+        if RUN in kinds:
+            yield text.grams(ANCHOR, RUN)
+        if SHOWN_END in kinds:
+            # A shown end of up to nine characters stands right beside a mask.
+            mask = np.isin(text.codes, np.array([ord(c) for c in MASK], np.uint32))
+            before = np.concatenate([[0], np.cumsum(mask)])
+            n, at = len(mask), np.arange(len(mask))
+            near = before[np.minimum(at + FRAGMENT, n)] > before[np.maximum(at - FRAGMENT, 0)]
+            rows = text.rows()
+            start = np.flatnonzero(near & (at + SHOWN <= text.of[1:][rows]))
+            yield rows[start], text.hashes(start, start + SHOWN, SHOWN_END)
+        if LAST in kinds:
+            yield text.grams(SHOWN, LAST)
+        if FIRST in kinds:
+            yield text.grams(1, FIRST)
+
+    return places
 
 
 def _holds_run(text: Column, secret: Column) -> Column:
@@ -83,79 +121,98 @@ def holds_key(text: Column, key: Column, secret: Column, provider: Column) -> Co
 def texts_with_keys(texts: DataFrame, keys: DataFrame, ids, text: str = "text") -> DataFrame:
     """Ids of texts that hold a configured key or a piece of one, once each.
 
-    Any run of 10 characters covers a whole 5-gram at a multiple of 5, so a text offers only
-    those, and its 4-grams and 5-grams that start a word or touch a mask for the masked shapes
-    and whole keys.  Texts and keys meet on a gram; only then is a text compared with that key.
+    A task hashes the grams of its texts and gives out those that may be a key's; they meet the keys on the
+    hash, and only then is a text compared with that key.  Texts aren't shuffled unless they met one.
     """
-    grams = key_grams(keys)
-    shown = F.regexp_extract_all(
-        F.col(text), F.lit(r"(?=((?<![\p{L}\p{N}*•·.…]).{4})(?:.{0,5}[*•·.…]))"), F.lit(1)
-    )
-    # What ends right before something that does not continue it, after a mask.
-    ends = F.regexp_extract_all(F.col(text), F.lit(r"(?<=[*•·.…].{0,5})(?=(.{4})(?![\p{L}\p{N}*•]))"), F.lit(1))
-    starts = F.concat(_grams(F.col(text), ANCHOR, ANCHOR), shown, ends)
-    keyed = texts.select(*ids, F.explode_outer(F.array_distinct(starts)).alias("gram")).filter("gram is not null")
-    met = keyed.join(grams, "gram").select(*ids, "key", "secret", "provider").distinct()
-    by_piece = met.join(texts.select(*ids, text), list(ids)).filter(
-        holds_key(F.col(text), F.col("key"), F.col("secret"), F.col("provider"))
-    )
-    # Whole keys whose secret part is short have no runs: their last characters, at any place.
-    short = keys.filter(F.col("key") != "").select("key").distinct().filter(
-        F.length(secret_part(F.col("key"))) < FRAGMENT
-    ).withColumn(
-        "gram",
-        F.when(F.length("key") >= SHOWN, F.substring("key", -SHOWN, SHOWN)).otherwise(F.substring("key", 1, 1)),
-    )
-    anywhere = F.array_distinct(F.concat(_grams(F.col(text), SHOWN), F.split(text, "")))
-    whole = (
-        texts.select(*ids, F.explode_outer(anywhere).alias("gram"))
-        .join(short, "gram")
-        .select(*ids, "key")
-        .distinct()
-        .join(texts.select(*ids, text), list(ids))
-        .filter(F.contains(text, F.col("key")))
-    )
-    return by_piece.select(*ids).unionByName(whole.select(*ids)).distinct()
+    ids = list(ids)
+    grams = stored(key_grams(keys), "grams")
+    # Four kinds at most.
+    kinds = {r.kind for r in grams.select("kind").distinct().collect()}
+    found = search.candidates(texts, ids, [F.col(text)], _key_places(kinds), grams)
+    pairs = search.met(found, grams.drop("kind"), ids)
+    held = holds_key(F.col(text), F.col("key"), F.col("secret"), F.col("provider"))
+    return search.beside_texts(pairs, texts.select(*ids, text), ids).filter(held).select(*ids).distinct()
+
+
+WHOLE, OPENS, CLOSES, INSIDE = range(4)
+
+
+def _key_pieces(keys: DataFrame) -> DataFrame:
+    """kind, piece, before, after, h: pieces of keys and the key's text before and after each.
+
+    A value in the middle is a whole piece; a first one ends with the key's beginning, and a last one begins with
+    the key's end.  A value that holds a key holds its last characters.
+    """
+    places = keys.filter(F.col("key") != "").select("key").distinct().withColumn("n", F.length("key"))
+    cut = places.select("key", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    cut = cut.select("key", "n", "i", F.explode(F.sequence(F.col("i") + 1, F.col("n"))).alias("j"))
+    said = {"piece": F.substring("key", F.col("i") + 1, F.col("j") - F.col("i")), "before": F.substring("key", F.lit(1), F.col("i")), "after": F.substring("key", F.lit(1), F.col("j"))}
+    said = [c.alias(n) for n, c in said.items()]
+    whole = cut.filter("i > 0 and j < n").select(F.lit(WHOLE).alias("kind"), *said)
+    opens = cut.filter("i = 0 and j < n").select(F.lit(OPENS).alias("kind"), *said)
+    closes = cut.filter("i > 0 and j = n").select(F.lit(CLOSES).alias("kind"), *said)
+    size = F.least("n", F.lit(ANCHOR))
+    inside = places.select(F.lit(INSIDE).alias("kind"), F.substring("key", F.col("n") - size + 1, size).alias("piece"), F.lit("").alias("before"), F.col("key").alias("after"))
+    rows = whole.union(opens).union(closes).union(inside).distinct()
+    return rows.withColumn("h", search.needle_hash("piece", "kind"))
+
+
+def _value_places(longest: int, sizes: list[int]):
+    """Spans of a value that could be a piece of a key."""
+
+    def places(codes: list[search.Codes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (text,) = codes
+        start, end = text.of[:-1], text.of[1:]
+        rows = np.flatnonzero((end > start) & (end - start < longest))
+        yield rows, text.hashes(start[rows], end[rows], WHOLE)
+        for n in range(1, longest):
+            rows = np.flatnonzero(end - start >= n)
+            yield rows, text.hashes(end[rows] - n, end[rows], OPENS)
+            yield rows, text.hashes(start[rows], start[rows] + n, CLOSES)
+        for n in sizes:
+            yield text.grams(n, INSIDE)
+
+    return places
 
 
 def split_over_values(values: DataFrame, keys: DataFrame, request: str = "request_id", value: str = "value") -> DataFrame:
-    """Requests whose few short values, joined in some order, hold a configured key.
+    """Requests whose values, some of them joined in some order, hold a configured key.
 
-    More than four values count as holding one.  Four values have 64 orders, so a request's
-    values are one short array; every key is compared as one list (a handful of configured keys).
+    Values are matched with pieces of keys once; then what is reached of a key grows value by value: a first value
+    opens a key, whole values lead from one place in it to the next, a last one closes it.  No order is tried out,
+    and any number of values may take part.  A value is used once, as often as it occurs: those that fit in more
+    than one place of keys are remembered on the way (keys that repeat themselves are the only ones that make
+    many such ways).  Null and empty values say nothing.
     """
-    sized = values.groupBy(request).agg(F.count("*").alias("_n"))
-    many = sized.filter(F.col("_n") > MAX_JOINED).select(request)
-    few = values.join(sized.filter(F.col("_n") <= MAX_JOINED), request).groupBy(request).agg(
-        F.collect_list(value).alias("v")
+    once = values.filter(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(request, value).agg(F.count("*").alias("n"))
+    once = stored(once.select(F.col(request).alias("request"), F.col(value).alias("value"), F.xxhash64(value).alias("id"), "n"), "values")
+    pieces = stored(_key_pieces(keys), "pieces")
+    sizes = pieces.agg(F.max(F.length("after")).alias("longest"), F.collect_set(F.when(F.col("kind") == INSIDE, F.length("piece"))).alias("sizes")).first()
+    if sizes["longest"] is None:
+        return values.select(request).limit(0)
+    found = search.candidates(once, once.columns, [F.col("value")], _value_places(sizes["longest"], sizes["sizes"]), pieces)
+    kind, said, piece = F.col("kind"), F.col("value"), F.col("piece")
+    true = (
+        F.when(kind == WHOLE, said == piece).when(kind == OPENS, F.endswith(said, piece))
+        .when(kind == CLOSES, F.startswith(said, piece)).otherwise(F.contains(said, F.col("after")))
     )
-    index = F.sequence(F.lit(1), F.size("v"))
-
-    def longer(orders):
-        return F.flatten(
-            F.transform(
-                orders,
-                lambda o: F.transform(
-                    F.filter(index, lambda i: ~F.array_contains(o, i)), lambda i: F.concat(o, F.array(i))
-                ),
-            )
-        )
-
-    one = F.transform(index, lambda i: F.array(i))
-    two = longer(one)
-    three = longer(two)
-    orders = F.concat(one, two, three, longer(three))
-    joined = few.select(
-        request,
-        F.explode(F.transform(orders, lambda o: F.array_join(F.transform(o, lambda i: F.element_at("v", i)), ""))).alias("text"),
-    ).distinct()
-    size = F.least(F.length("key"), F.lit(ANCHOR))
-    grams = keys.filter(F.col("key") != "").select(
-        "key", F.substring("key", F.length("key") - size + 1, size).alias("gram")
-    )
-    every = F.flatten(F.array(*[_grams(F.col("text"), n) for n in range(1, ANCHOR + 1)]))
-    met = joined.select(request, "text", F.explode_outer(F.array_distinct(every)).alias("gram")).join(grams, "gram")
-    return met.filter(F.contains("text", F.col("key"))).select(request).unionByName(many).distinct()
+    edges = stored(found.join(pieces, "h").filter(true).select("request", "id", "n", "kind", "before", "after").distinct(), "edges")
+    often = edges.groupBy("request", "id").agg((F.count("*") > 1).alias("often"))
+    edges = stored(edges.join(often, ["request", "id"]), "edges")
+    hits = edges.filter(kind == INSIDE).select("request").distinct()
+
+    mark = F.when(F.col("often"), F.array("id")).otherwise(F.array().cast("array<long>"))
+    reached = stored(edges.filter(kind == OPENS).select("request", F.col("after").alias("before"), mark.alias("used")).distinct(), "reached")
+    free = ~F.col("often") | (F.size(F.filter("used", lambda u: u == F.col("id"))) < F.col("n"))
+    whole, closes = edges.filter(kind == WHOLE), edges.filter(kind == CLOSES)
+    # What is reached of a key gets longer with every round.
+    while not reached.isEmpty():
+        closed = reached.join(closes, ["request", "before"]).filter(free).select("request").distinct()
+        hits = stored(hits.union(closed).distinct(), "hits")
+        further = reached.join(whole, ["request", "before"]).filter(free)
+        grown = further.select("request", F.col("after").alias("before"), F.array_sort(F.concat("used", mark)).alias("used")).distinct()
+        reached = stored(grown.join(hits, "request", "left_anti"), "reached")
+    return hits.select(F.col("request").alias(request))
 
 
 def _undone(written: str) -> str:
@@ -174,19 +231,29 @@ def _literals(value: str) -> set[str]:
     return found - {value}
 
 
-def text_layers(texts: DataFrame, ids, text: str = "text", layers: int = LAYERS) -> DataFrame:
-    """Each text, and the string literals in it with their escapes undone, `layers` deep."""
+def text_layers(texts: DataFrame, ids, text: str = "text", layers: int | None = None) -> DataFrame:
+    """Each text, and the string literals in it with their escapes undone, layer by layer.
+
+    A row's layers are followed where it is, until nothing is new or `layers` deep; what a literal says is never
+    longer than the text it stands in.
+    """
 
     def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def every(value):
+            if not isinstance(value, str):
+                return [None]
+            out, level, depth = [value], [value], 0
+            while level and (layers is None or depth < layers):
+                level = [inner for outer in level for inner in sorted(_literals(outer))]
+                out += level
+                depth += 1
+            return out
+
         for batch in batches:
-            values = batch[text]
-            inner = values.where(values.isna(), values.map(lambda v: sorted(_literals(v)), na_action="ignore"))
-            yield batch.assign(**{text: inner}).explode(text).dropna(subset=[text])[[*ids, text]]
+            # Row by row, so that only one row's layers are held beside the batch.
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start : start + 256]
+                yield part.assign(**{text: part[text].map(every)}).explode(text)[[*ids, text]]
 
     fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in (*ids, text))
-    level = texts.select(*ids, text)
-    out = level
-    for _ in range(layers):
-        level = level.mapInPandas(down, fields)
-        out = out.unionByName(level)
-    return out
+    return texts.select(*ids, text).mapInPandas(down, fields)
