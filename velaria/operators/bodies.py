@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -336,9 +336,15 @@ def mask_bodies(
     provider: str | None = None,
     json_names=("arguments",),
     policy=None,
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
+    max_names: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(masked bodies, vault, blocked): every string of a body in one numbering.
 
+    With `scorer`, a model's names are hidden too, wherever they stand in the scope: it gets the texts (scope,
+    text_ord, text) and gives (scope, text_ord, start, end, type).  Where its ranges are ill formed, or names are
+    more than `max_names`, the scope is blocked.
+
     A key or number that would change, a reasoning block that holds a value, an attachment, a
     body too deep or a value left in the result blocks the scope, with the first reason in order.
     """
@@ -349,6 +355,10 @@ def mask_bodies(
         scope, F.col("ord").alias("text_ord"), F.col("value").alias("text"), "kind", held.alias("held")
     )
     scanned = materialize(scan(texts))
+    failed = None
+    if scorer is not None:
+        scored = scorer(scanned.select(scope, "text_ord", "text"))
+        scanned, failed = masking.with_names(scanned, scored, scope, "text", policy, max_names)
     free = scanned.filter("not held")
     reserved = None
     if provider == "anthropic":
@@ -384,7 +394,7 @@ def mask_bodies(
         .unionByName(unmaskable)
         .unionByName(leaking)
     )
-    blocked = first_reason(reasons, scope)
+    blocked = first_reason(reasons if failed is None else reasons.unionByName(failed.select(scope, "reason")), scope)
     out = put_back(bodies, changes, scope, body, json_names)
     return out.join(blocked.select(scope), scope, "left_anti"), vault, blocked
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from velaria.functions.spans import piece
+from velaria.functions.spans import SPANS_TYPE, no_spans, piece
 from velaria.functions.views import escape
+from velaria.operators import needles as search
 from velaria.operators.detect import value_table
 from velaria.operators.policy import hides
+from velaria.operators.propagate import propagate
+from velaria.operators.resolve import ill_formed, resolve
 from velaria.operators.vault import vault
+from velaria.session import stored
 
 FOUND_TYPE = "array<struct<start:int,end:int,type:string,hidden:boolean,token:string>>"
 
@@ -117,6 +121,29 @@ def mask_scopes(
     return masked, numbers
 
 
+def with_names(
+    scanned: DataFrame, scored: DataFrame, scope: str = "scope_id", text: str = "text", policy=None, max_names: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(scanned with a model's names, and every other appearance of them in the scope, blocked scopes).
+
+    `scored` has scope, text_ord, start, end, type.  A scope in which the model's ranges of some text are not
+    sorted, disjoint and inside it, or name a text that isn't there, is blocked whole: its detector failed.
+    """
+    keys = [scope, "text_ord"]
+    names = stored(scored.select(*keys, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type"), "scored")
+    lengths = search.only_maybe(scanned.select(*keys, text), names, keys).select(*keys, F.length(text).alias("n_chars"))
+    bad = ill_formed(names.select(*keys, "start", "end"), lengths, keys).select(scope)
+    failed = stored(bad.distinct().withColumn("reason", F.lit("detector_failed")), "failed")
+    ranges = F.struct("start", "end", "type", F.lit("NER").alias("layer"), F.lit("MEDIUM").alias("confidence"))
+    more = names.join(failed, scope, "left_anti").groupBy(*keys).agg(F.collect_list(ranges).cast(SPANS_TYPE).alias("_names"))
+    rest = scanned.join(failed, scope, "left_anti")
+    some, none = search.split_maybe(rest, names, keys)
+    joined = some.join(more, keys, "left").withColumn("spans", resolve(F.concat("spans", F.coalesce("_names", no_spans())), F.col(text)))
+    named = joined.select(*scanned.columns).unionByName(none.select(*scanned.columns))
+    out, many = propagate(named, scope, text, policy, max_names)
+    return out, failed.unionByName(many.select(scope, "reason"))
+
+
 def found_table(masked: DataFrame, keys) -> DataFrame:
     """One row per found span: start, end, type, hidden, token; no value."""
     return (

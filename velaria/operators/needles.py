@@ -56,14 +56,26 @@ class Codes:
 
     def __init__(self, texts: pa.Array):
         plain = pc.fill_null(texts, "")
-        self.codes = np.frombuffer("".join(plain.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer("".join(plain.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = pc.utf8_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.of = np.concatenate([[0], np.cumsum(sizes)])
-        n = len(self.codes)
+        self._set(codes, np.concatenate([[0], np.cumsum(sizes)]))
+
+    @classmethod
+    def of_codes(cls, codes: np.ndarray, of: np.ndarray) -> Codes:
+        out = cls.__new__(cls)
+        out._set(codes, of)
+        return out
+
+    def _set(self, codes: np.ndarray, of: np.ndarray) -> None:
+        self.codes, self.of, n = codes, of, len(codes)
         # Sums over all places before each: a span's hash is a difference, moved back to place 0.
         self._sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * _power(_STEP, n), out=self._sums[1:])
 
+    def texts(self) -> list[str]:
+        whole = self.codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return [whole[a:b] for a, b in zip(self.of[:-1].tolist(), self.of[1:].tolist())]
+
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.of) - 1), np.diff(self.of))
 
@@ -140,13 +152,19 @@ def holds(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def only_maybe(df: DataFrame, ids: DataFrame, by: list[str]) -> DataFrame:
     """Rows whose ids are probably among `ids`; none that is gets lost."""
+    return split_maybe(df, ids, by)[0]
+
+
+def split_maybe(df: DataFrame, ids: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ids are probably among `ids`, rows whose ids surely aren't)."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(*by).alias("h")).distinct()))
 
     @pandas_udf(BooleanType())
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(holds(shared.value, h.to_numpy()))
 
-    return df.where(maybe(F.xxhash64(*[F.col(c) for c in by])))
+    test = maybe(F.xxhash64(*[F.col(c) for c in by]))
+    return df.where(test), df.where(~test)
 
 
 # -------------------------------------------------------------------------------- search
@@ -165,17 +183,17 @@ def candidates(texts: DataFrame, keep: list[str], columns: list[Column], spans:
     plan = texts.select(
         *keep, (F.lit(0).cast("long") if salt is None else salt).alias("__salt"), *[c.alias(f"__t{i}") for i, c in enumerate(columns)]
     )
-    width, wide, under = len(keep), len(columns), salt is not None
+    width, wide, scoped = len(keep), len(columns), salt is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _pieces(batch, width + 1):
+            for part in text_pieces(batch, width + 1):
                 codes = [Codes(part.column(width + 1 + i)) for i in range(wide)]
-                salts = part.column(width).to_numpy(zero_copy_only=False).view(np.uint64) if under else None
+                salts = part.column(width).to_numpy(zero_copy_only=False).view(np.uint64) if scoped else None
                 found = []
                 for rows, h in spans(codes):
-                    if under:
-                        h = _salted(h, salts[rows])
+                    if scoped:
+                        h = under(h, salts[rows])
                     hit = holds(shared.value, h)
                     found.append(np.column_stack([rows[hit].astype(np.uint64), h[hit]]))
                 pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
@@ -185,17 +203,19 @@ def candidates(texts: DataFrame, keep: list[str], columns: list[Column], spans:
     return plan.mapInArrow(run, schema.add("h", "long"))
 
 
-def _salted(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
+def under(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A hash under a salt."""
     return mixed(h ^ salt)
 
 
 @pandas_udf(LongType())
 def under_salt(h: pd.Series, salt: pd.Series) -> pd.Series:
     """A needle's hash under the salt of its scope, as `candidates` makes it."""
-    return pd.Series(_salted(h.to_numpy().view(np.uint64), salt.to_numpy().view(np.uint64)).view(np.int64))
+    return pd.Series(under(h.to_numpy().view(np.uint64), salt.to_numpy().view(np.uint64)).view(np.int64))
 
 
-def _pieces(batch: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
+def text_pieces(batch: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about `CHUNK_CHARS` in the columns from `first` on; a longer row comes alone."""
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns[first:]:
         sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from velaria.functions import views
+from velaria.functions.folded import folded_views
 from velaria.functions.spans import SPANS_TYPE
 from velaria.operators import names, propagate
 from velaria.plans.registry import query, spread, table
@@ -36,6 +37,22 @@ def n02_offset_map(spark, sf):
     )
 
 
+@query(
+    "n06_folded_views",
+    "with c as (select doc_id, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) - 1 as i from documents where text <> ''), "
+    "f as (select *, case when regexp_matches(ch, '\\s') then ' ' else replace(lower(strip_accents(ch)), 'ß', 'ss') end as f from c), "
+    "k as (select *, f <> ' ' or coalesce(lag(f) over (partition by doc_id order by i), ' ') <> ' ' as kept, regexp_matches(f, '[\\p{L}\\p{N}]') as letter from f) "
+    "select doc_id, string_agg(f, '' order by i) filter (kept) as normal, sha256(string_agg(f, '' order by i) filter (kept and letter)) as compact_sha256, "
+    "cast(sum(i * length(f)) filter (kept) as bigint) as places, cast(sum(i * length(f)) filter (kept and letter) as bigint) as compact_places from k group by doc_id",
+)
+def n06_folded_views(spark, sf):
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = folded_views(spread(table(spark, sf, "documents").filter("text <> ''")), ["doc_id"])
+    return rows.select(
+        "doc_id", "normal", F.sha2("compact", 256).alias("compact_sha256"), total("normal_from").alias("places"), total("compact_from").alias("compact_places")
+    )
+
+
 @query(
     "n07_model_view",
     "select page_id, case when length(url) >= 32 then repeat(' ', length(url)) else url end || ' ok ' || repeat(' ', 8) || 'Ana' as view from pages",
@@ -146,7 +163,7 @@ def r08_propagate_names(spark, sf):
         F.col("conv_id").alias("scope_id"), F.col("turn").alias("text_ord"),
         F.concat("text", tail).alias("text"), seen.alias("spans"),
     )
-    out, _ = propagate.propagate(materialize(scanned))
+    out, _ = propagate.propagate(scanned)
     return out.select("scope_id", "text_ord", F.explode_outer("spans").alias("s")).filter("s is not null").select(
         "scope_id", "text_ord", "s.start", "s.end"
     )
