@@ -7,8 +7,9 @@
    hash); the estimate from the packed bits (bit counts, corrected for chance collisions) spares most
    sets.  What passes is confirmed on full sets, and links are merged to components.
 3. Then every pair that shares a band and lies in two components is compared too, once, so that no link
-   that could join components is left out.  In buckets with many such pairs the sets are compared where
-   the pairs meet, and only links come out; elsewhere pairs with a high estimate go to the confirmation.
+   that could join components is left out.  Pairs are pairs of ids until they are distinct; signatures and
+   sets come after.  Texts of buckets with many such pairs aren't paired by bucket: their shingles are ordered by rarity,
+   and texts meet on the few rarest, of which similar sets must share one (an exact prefix filter).
 
 Bands follow from the threshold, so that a pair at it shares no band with probability below 3e-7: 48 of 8 rows
 for 0.85, 64 of 7 for 0.80.
@@ -24,8 +25,9 @@ import math
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from velaria.llm import common
 
@@ -149,7 +151,8 @@ def signatures(df: DataFrame, bands: Bands, text: str = "text", key: str = "doc_
         return chunk
 
     new = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, packed array<long>"
-    return common.map_text(df, text, new, make, keep=[], extra=(key,))
+    # Short texts have many minima for each byte: chunks are small.
+    return common.map_text(df, text, new, make, keep=[], extra=(key,), chunk_bytes=1 << 20)
 
 
 def estimate(a: Column, b: Column, hashes: int) -> Column:
@@ -169,14 +172,14 @@ def estimate(a: Column, b: Column, hashes: int) -> Column:
 # ------------------------------------------------------------------------ components
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, by alternating large-star and small-star steps.
 
     `edges` has two columns, the ends; only nodes that some edge joins with a smaller one are listed.
     """
     both = edges.toDF("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     step = common.written(both, "edges")
-    for _ in range(most_rounds):
+    while True:
         ways = step.select("u", "v").union(step.select(F.col("v"), F.col("u")))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -190,7 +193,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         step = after
         if chained.isEmpty() and twice.isEmpty():
             return step.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
 # ------------------------------------------------------------------------- the operator
@@ -260,23 +262,60 @@ def _merge(links: DataFrame, comp: DataFrame | None) -> DataFrame:
     return components(links if comp is None else links.union(comp.select(F.col("node"), F.col("component"))))
 
 
-def _first_shared(a: Column, b: Column, bands: int) -> Column:
-    """The first band in which two texts agree."""
-    return F.coalesce(*[F.when(F.get(a, F.lit(k)) == F.get(b, F.lit(k)), F.lit(k)) for k in range(bands)])
+def _shared_buckets(named: DataFrame) -> DataFrame:
+    """rep, band and bucket, of buckets with more than one text.
+
+    Buckets are counted before anything is sent (most hold one text); a bitmap then lets through what may be shared.
+    """
+    shared = common.written(
+        named.select(F.explode("bands").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "shared"
+    )
+    bitmap = bitmap_of(shared)
+    slots, words = F.pmod(F.xxhash64("bucket"), F.lit(len(bitmap) * 32)), named.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def maybe(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy()
+        return pd.Series((words.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1)
+
+    rows = named.select("rep", F.posexplode("bands").alias("band", "bucket")).where(maybe(slots))
+    return common.written(rows.join(shared.withColumnRenamed("id", "bucket"), "bucket", "left_semi").select("rep", "band", "bucket"), "buckets")
+
+
+def _pairs_in(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components that meet in a bucket."""
+    one = rows.select("bucket", F.col("rep").alias("a"), F.col("component").alias("component_a"))
+    two = rows.select("bucket", F.col("rep").alias("b"), F.col("component").alias("component_b"))
+    met = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")))
+    return met.select("a", "b").distinct()
 
 
-def _paired(rows: DataFrame, more: list[str], bands: Bands, threshold: tuple[int, int] = (1, 1)) -> DataFrame:
-    """Pairs of different components that meet in a bucket and are estimated similar, each in its first bucket only."""
-    names = ["rep", "component", "packed", "bands", *more]
-    one = rows.select("bucket", "band", *[F.col(c).alias(f"{c}_a") for c in names])
-    two = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in names])
-    return one.join(two, "bucket").where(
-        (F.col("rep_a") < F.col("rep_b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & (estimate(F.col("packed_a"), F.col("packed_b"), bands.hashes) >= bands.least_estimate)
-        & (_first_shared(F.col("bands_a"), F.col("bands_b"), bands.count) == F.col("band"))
-        & (_similar(F.col("shingles_a"), F.col("shingles_b"), threshold) if more else F.lit(True))
+def _similar_pairs(pairs: DataFrame, bits: DataFrame, bands: Bands) -> DataFrame:
+    """Those of `pairs` that are estimated similar."""
+    found = pairs.join(bits.withColumnsRenamed({"rep": "a", "packed": "p"}), "a").join(bits.withColumnsRenamed({"rep": "b", "packed": "q"}), "b")
+    return found.where(estimate(F.col("p"), F.col("q"), bands.hashes) >= bands.least_estimate).select("a", "b")
+
+
+def _meeting_on_rare(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share one of the rarest shingles of each.
+
+    Sets of sizes x <= y that are similar enough share at least t * y shingles.  With all shingles in one order, two such
+    sets share one among the first x - ceil(t * x) + 1 of each, whatever the order; by rarity, few others do.
+    """
+    n = F.size("shingles")
+    tokens = sets.select("rep", F.explode("shingles").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("texts"))
+    ordered = tokens.join(counts, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("by_rarity"))
+    first = n - F.ceil(n * threshold[0] / F.lit(threshold[1])).cast("int") + 1
+    rows = sets.join(ordered, "rep").select("rep", "component", n.alias("n"), F.explode(F.slice("by_rarity", 1, first)).alias("t"))
+    rows = common.written(rows.where("t.texts > 1").select("rep", "component", "n", "t.token"), "rare")
+    one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n")])
+    two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n")])
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    met = one.join(two, "token").where(
+        (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (threshold[1] * least >= threshold[0] * most)
     )
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -303,22 +342,13 @@ def near_duplicates(
     )
     named = classes.where("rep is not null")
     bits = named.select("rep", "packed")
-    count = F.count("*").over(Window.partitionBy("bucket"))
-    buckets = common.written(
-        named.select("rep", F.posexplode("bands").alias("band", "bucket")).withColumn("n", count).where("n > 1").drop("n"), "buckets"
-    )
+    buckets = _shared_buckets(named)
 
     order = F.struct(F.xxhash64("rep"), "rep")
     hubs = buckets.groupBy("bucket").agg(F.array(F.min("rep"), F.min(order)["rep"]).alias("hubs"))
     hubs = common.written(hubs.select("bucket", F.explode(F.array_distinct("hubs")).alias("a")), "hubs")
     pairs = buckets.join(hubs, "bucket").where("a <> rep").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    near = (
-        pairs.join(bits.withColumnsRenamed({"rep": "a", "packed": "p"}), "a")
-        .join(bits.withColumnsRenamed({"rep": "b", "packed": "q"}), "b")
-        .where(estimate(F.col("p"), F.col("q"), bands.hashes) >= bands.least_estimate)
-        .select("a", "b")
-    )
-    near = common.written(near.distinct(), "pairs")
+    near = common.written(_similar_pairs(pairs, bits, bands).distinct(), "pairs")
     sets = _sets_for(df, near.select(F.col("a").alias("rep")).union(near.select("b")), named, text, key)
     comp = _merge(_confirmed(near, sets, threshold), None)
 
@@ -330,15 +360,11 @@ def near_duplicates(
         ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
     )
     left = common.written(now.join(sizes.where("pairs > 0"), "bucket"), "open")
-    full = left.join(named.select("rep", "packed", "bands"), "rep")
-    few = _paired(full.where(F.col("pairs") <= many_pairs), [], bands)
-    few = common.written(few.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
-    many = left.where(F.col("pairs") > many_pairs).select("rep")
-    sets = _sets_for(df, few.select(F.col("a").alias("rep")).union(few.select("b")).union(many), named, text, key)
-    links = _confirmed(few, sets, threshold)
-    dense = full.where(F.col("pairs") > many_pairs).join(sets, "rep")
-    inside = _paired(dense, ["shingles"], bands, threshold)
-    links = common.written(links.union(inside.select("rep_a", "rep_b")).distinct(), "links")
+    few = common.written(_similar_pairs(_pairs_in(left.where(F.col("pairs") <= many_pairs)), bits, bands), "pairs")
+    many = common.written(left.where(F.col("pairs") > many_pairs).select("rep", "component").distinct(), "dense")
+    sets = _sets_for(df, few.select(F.col("a").alias("rep")).union(few.select("b")).union(many.select("rep")), named, text, key)
+    dense = _similar_pairs(_meeting_on_rare(sets.join(many, "rep"), threshold), bits, bands)
+    links = common.written(_confirmed(few.union(dense).distinct(), sets, threshold), "links")
     comp = _merge(links, comp)
 
     home = common.written(
