@@ -8,8 +8,8 @@
    sets.  What passes is confirmed on full sets, and links are merged to components.
 3. Then every pair that shares a band and lies in two components is compared too, once, so that no link
    that could join components is left out.  Pairs are pairs of ids until they are distinct; signatures and
-   sets come after.  Texts of buckets with many such pairs aren't paired by bucket: their shingles are ordered by rarity,
-   and texts meet on the few rarest, of which similar sets must share one (an exact prefix filter).
+   sets come after.  They aren't paired by bucket: the shingles of such texts are ordered by rarity, and texts meet
+   on the few rarest, of which similar sets must share one early enough (an exact prefix and position filter).
 
 Bands follow from the threshold, so that a pair at it shares no band with probability below 3e-7: 48 of 8 rows
 for 0.85, 64 of 7 for 0.80.
@@ -300,20 +300,25 @@ def _meeting_on_rare(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Distinct pairs (a, b) of different components that share one of the rarest shingles of each.
 
     Sets of sizes x <= y that are similar enough share at least t * y shingles.  With all shingles in one order, two such
-    sets share one among the first x - ceil(t * x) + 1 of each, whatever the order; by rarity, few others do.
+    sets share one among the first x - ceil(t * x) + 1 of each, whatever the order; by rarity, few others do.  What
+    follows the first one they share must be enough for t / (1 + t) of both sizes: pairs that meet later are left out,
+    since similar ones have met before.
     """
     n = F.size("shingles")
     tokens = sets.select("rep", F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("texts"))
     ordered = tokens.join(counts, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("by_rarity"))
     first = n - F.ceil(n * threshold[0] / F.lit(threshold[1])).cast("int") + 1
-    rows = sets.join(ordered, "rep").select("rep", "component", n.alias("n"), F.explode(F.slice("by_rarity", 1, first)).alias("t"))
-    rows = common.written(rows.where("t.texts > 1").select("rep", "component", "n", "t.token"), "rare")
-    one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n")])
-    two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n")])
+    rows = sets.join(ordered, "rep").select("rep", "component", n.alias("n"), F.posexplode(F.slice("by_rarity", 1, first)).alias("at", "t"))
+    rows = rows.select("rep", "component", "n", (F.col("n") - F.col("at")).alias("left"), "t.texts", "t.token")
+    rows = common.written(rows.where("texts > 1").drop("texts"), "rare")
+    names = ("rep", "component", "n", "left")
+    one = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
+    two = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    enough = (threshold[0] + threshold[1]) * F.least("left_a", "left_b") >= threshold[0] * (F.col("n_a") + F.col("n_b"))
     met = one.join(two, "token").where(
-        (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (threshold[1] * least >= threshold[0] * most)
+        (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (threshold[1] * least >= threshold[0] * most) & enough
     )
     return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
@@ -324,11 +329,12 @@ def near_duplicates(
     key: str = "doc_id",
     threshold: tuple[int, int] = (85, 100),
     least_estimate: float | None = None,
-    many_pairs: int = 2_000,
+    many_pairs: int = 0,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
     Pairs estimated below `least_estimate` (by default five standard errors under the threshold) are not read whole.
+    Texts of buckets with up to `many_pairs` pairs left are paired by bucket, the others by their rarest shingles.
     """
     bands = Bands.of(threshold)
     if least_estimate is not None:
@@ -360,7 +366,8 @@ def near_duplicates(
         ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
     )
     left = common.written(now.join(sizes.where("pairs > 0"), "bucket"), "open")
-    few = common.written(_similar_pairs(_pairs_in(left.where(F.col("pairs") <= many_pairs)), bits, bands), "pairs")
+    few = _similar_pairs(_pairs_in(left.where(F.col("pairs") <= many_pairs)), bits, bands) if many_pairs else near.limit(0)
+    few = common.written(few, "pairs")
     many = common.written(left.where(F.col("pairs") > many_pairs).select("rep", "component").distinct(), "dense")
     sets = _sets_for(df, few.select(F.col("a").alias("rep")).union(few.select("b")).union(many.select("rep")), named, text, key)
     dense = _similar_pairs(_meeting_on_rare(sets.join(many, "rep"), threshold), bits, bands)
