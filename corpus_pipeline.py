@@ -21,8 +21,13 @@ from velaria.llm import common, credentials, decontaminate, minhash, packing, pe
 SIMILAR = (80, 100)
 
 
+#: Rows that go to a Python worker at once: whole rows travel beside their texts, so few are held twice.
+BATCH_ROWS = 512
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """Whole rows in one column beside those an operator reads, so that no name can clash."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     return docs.select(columns, F.col("text"), F.col("lang"))
 
@@ -34,7 +39,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = minhash.near_duplicates(docs, threshold=SIMILAR)
+    rows = _rows(docs).select("__row")
+    judged = minhash.near_duplicates(docs.select("doc_id", "text"), threshold=SIMILAR)
     gone = common.written(judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "gone")
     # Texts that are surely not among those that go aren't shuffled.
     bitmap = minhash.bitmap_of(gone)
@@ -46,22 +52,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         at = slot.to_numpy()
         return pd.Series((shared.value[at // 32] >> (at % 32).astype("uint32")) & 1 == 1)
 
-    key = F.col("doc_id").cast("long")
-    marked = docs.withColumn("__maybe", F.when(key.isNull(), F.lit(False)).otherwise(maybe(F.pmod(F.xxhash64(key), F.lit(bits)))))
-    tested = marked.where("__maybe").withColumn("__id", key).join(gone.withColumnRenamed("id", "__id"), "__id", "left_anti")
-    return marked.where("not __maybe").select(*docs.columns).unionByName(tested.select(*docs.columns))
+    key = F.col("__row.doc_id").cast("long")
+    marked = rows.withColumn("__maybe", F.when(key.isNull(), F.lit(False)).otherwise(maybe(F.pmod(F.xxhash64(key), F.lit(bits)))))
+    tested = marked.where("__maybe").withColumn("id", key).join(gone, "id", "left_anti")
+    return marked.where("not __maybe").select("__row").unionByName(tested.select("__row")).select("__row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).distinct()
-    own = docs.withColumn("__key", F.xxhash64("text"))
-    return own.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left_anti").select(*docs.columns)
+    judged = decontaminate.contamination(docs.select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+    bad = judged.where("contaminated").select("doc_id", "text_key").distinct()
+    own = _rows(docs).select("__row", F.xxhash64("text").alias("key"))
+    same = F.col("__row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    return own.join(bad, same, "left_anti").select("__row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = credentials.scan(_rows(docs), keep=["__row"], clean="__clean", words=credentials.ranked_words(docs))
-    values = {c: F.col(f"__row.`{c}`") for c in docs.columns}
+    values = {c: F.col(f"`__row`.`{c}`") for c in docs.columns}
     values["text"] = F.col("__clean")
     if "n_chars" in values:
         changed = F.col("spans") != ""
