@@ -12,7 +12,6 @@ document to it and stay together.  Null texts have no words, so the first stage
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from velaria.llm import common, credentials, decontaminate, minhash, packing, perplexity, tokens
@@ -21,6 +20,8 @@ from velaria.llm import common, credentials, decontaminate, minhash, packing, pe
 SIMILAR = (80, 100)
 
 
+#: Bits of the bitmap of ids that go: 524,288 words at most, whatever the number of ids.
+BITMAP_BITS = 1 << 24
 #: Rows that go to a Python worker at once: whole rows travel beside their texts, so few are held twice.
 BATCH_ROWS = 512
 
@@ -42,20 +43,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _rows(docs).select("__row")
     judged = minhash.near_duplicates(docs.select("doc_id", "text"), threshold=SIMILAR)
     gone = common.written(judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    # Texts that are surely not among those that go aren't shuffled.
-    bitmap = minhash.bitmap_of(gone)
-    bits = len(bitmap) * 32
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def maybe(slot: pd.Series) -> pd.Series:
-        at = slot.to_numpy()
-        return pd.Series((shared.value[at // 32] >> (at % 32).astype("uint32")) & 1 == 1)
-
+    # Texts that are surely not among those that go aren't shuffled: a bitmap of hashed ids, as a table of a bounded
+    # number of words, is met by a broadcast join; no text passes a Python worker.
     key = F.col("__row.doc_id").cast("long")
-    marked = rows.withColumn("__maybe", F.when(key.isNull(), F.lit(False)).otherwise(maybe(F.pmod(F.xxhash64(key), F.lit(bits)))))
-    tested = marked.where("__maybe").withColumn("id", key).join(gone, "id", "left_anti")
-    return marked.where("not __maybe").select("__row").unionByName(tested.select("__row")).select("__row.*")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
+    word, bit = (lambda c: F.floor(slot(c) / 32).cast("int")), (lambda c: F.expr("shiftleft(1L, cast(slot % 32 as int))"))
+    words = gone.withColumn("slot", slot(F.col("id"))).groupBy(word(F.col("id")).alias("word")).agg(F.bit_or(bit("slot")).alias("bits"))
+    words = F.broadcast(common.written(words, "bitmap"))
+    marked = rows.withColumn("slot", slot(key)).withColumn("word", F.floor(F.col("slot") / 32).cast("int")).join(words, "word", "left")
+    maybe = key.isNotNull() & F.coalesce(F.col("bits").bitwiseAND(bit("slot")) != 0, F.lit(False))
+    tested = marked.where(maybe).select("__row", key.alias("id")).join(gone, "id", "left_anti")
+    return marked.where(~maybe).select("__row").unionByName(tested.select("__row")).select("__row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
