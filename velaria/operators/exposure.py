@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from velaria.functions.spans import piece
+from velaria.session import stored
 
 FLOOR_TYPES = ("PERSON", "ADDRESS")
 PRECISION_FLOOR = 0.85
@@ -183,11 +184,39 @@ def with_scores(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": precision(), "recall": recall(), "f1": f1()})
 
 
-def latency(samples: DataFrame, value: str, groups=()) -> DataFrame:
-    """p50 and p95 by linear interpolation, exact."""
-    return samples.groupBy(*groups).agg(
-        F.percentile(F.col(value), F.lit(0.5)).alias("p50"),
-        F.percentile(F.col(value), F.lit(0.95)).alias("p95"),
+def latency(samples: DataFrame, value: str, groups=(), points=(("p50", 0.5), ("p95", 0.95))) -> DataFrame:
+    """Quantiles by linear interpolation, exact.
+
+    Values are counted, dealt out by range of (group, value), and numbered by running counts within a range and the
+    counts of the ranges before; a quantile lies on one or two ranks.  So no task has all values of a group.  Null
+    values are left out; a group without any has nulls.
+    """
+    groups, x = list(groups), F.col(value)
+    counts = samples.filter(x.isNotNull()).groupBy(*groups, x.alias("_x")).agg(F.count("*").alias("_n"))
+    ranged = stored(counts.repartitionByRange(*groups, "_x").withColumn("_part", F.spark_partition_id()), "ranges")
+    # One row for each range and group in it.
+    parts = ranged.groupBy(*groups, "_part").agg(F.sum("_n").alias("_held"))
+    before = F.sum("_held").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_all", F.sum("_held").over(Window.partitionBy(*groups)))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(f"r.{g}").eqNullSafe(F.col(f"p.{g}"))
+    placed = ranged.alias("r").join(parts.alias("p"), same & (F.col("r._part") == F.col("p._part")))
+    placed = placed.select(*[F.col(f"r.{g}").alias(g) for g in groups], "r._part", "_x", "_n", "_before", "_all")
+    running = Window.partitionBy(*groups, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("_last", F.col("_before") + F.sum("_n").over(running)).withColumn("_first", F.col("_last") - F.col("_n"))
+    out = []
+    for name, q in points:
+        at = (F.col("_all") - 1) * F.lit(float(q))
+        held = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_last")), F.col("_x")))
+        low, high, part, rest = held(F.floor(at)), held(F.ceil(at)), F.max(at - F.floor(at)), F.max(F.ceil(at) - at)
+        out.append(F.when(low == high, low.cast("double")).otherwise(rest * low + part * high).alias(name))
+    found = ranked.groupBy(*groups).agg(*out)
+    if not groups:
+        return found
+    every = samples.select(*groups).distinct()
+    return every.alias("e").join(found.alias("f"), [F.col(f"e.{g}").eqNullSafe(F.col(f"f.{g}")) for g in groups], "left").select(
+        *[F.col(f"e.{g}").alias(g) for g in groups], *[F.col(f"f.{n}").alias(n) for n, _ in points]
     )
 
 

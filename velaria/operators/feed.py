@@ -233,7 +233,10 @@ def address_bucket(address: Column) -> Column:
     without_zone = F.regexp_replace(address, r"(?<=:.{0,60})%[^%]+$", "")
     halves = let(without_zone, lambda t: F.split(F.lower(hexed(t)), "::"))
     six = let(let(halves, filled), written)
-    return F.when(F.contains(address, F.lit(":")), six).otherwise(address)
+    # Mapped IPv4 in its usual writing, without the general case's folds.
+    usual = rf"^::ffff:({octet}(?:\.{octet}){{3}})$"
+    mapped = F.regexp_extract(address, usual, 1)
+    return F.when(~F.contains(address, F.lit(":")), address).when(mapped != "", mapped).otherwise(six)
 
 
 def failure_bursts(attempts: DataFrame, bucket: str = "bucket", at: str = "at") -> DataFrame:
@@ -241,25 +244,28 @@ def failure_bursts(attempts: DataFrame, bucket: str = "bucket", at: str = "at")
 
     With five or more, the next attempt waits until the fifth latest is 60 seconds old: the wait
     is whole seconds, rounded up, at least one.
+
+    Time is cut in bins as long as the window.  A row goes to its own bin and, as one that only counts, to the next: all
+    that a row looks back on is in its bin, so an address with most of the rows is spread over as many tasks as
+    it has minutes.  Rows without a time count for nothing and keep nulls.
     """
-    micros = F.unix_micros(F.col(at))
-    trailing = (
-        Window.partitionBy(bucket).orderBy("_t").rangeBetween(-(WINDOW_MICROS - 1), Window.currentRow)
-    )
-    in_order = Window.partitionBy(bucket).orderBy("_t", *[c for c in ("event_id",) if c in attempts.columns])
-    fifth = F.lag("_t", MAX_FAILURES - 1).over(in_order)
+    rows = attempts.withColumn("_t", F.unix_micros(F.col(at)))
+    own = F.floor(F.col("_t") / WINDOW_MICROS)
+    bins = F.explode(F.array(F.struct(own.alias("bin"), F.lit(True).alias("own")), F.struct((own + 1).alias("bin"), F.lit(False).alias("own"))))
+    binned = rows.filter("_t is not null").withColumn("_b", bins)
+    order = ["_t", *[c for c in ("event_id",) if c in attempts.columns]]
+    by_bin = Window.partitionBy(bucket, "_b.bin")
+    trailing = by_bin.orderBy("_t").rangeBetween(-(WINDOW_MICROS - 1), Window.currentRow)
+    fifth = F.lag("_t", MAX_FAILURES - 1).over(by_bin.orderBy(*order))
     wait = F.ceil((fifth + WINDOW_MICROS - F.col("_t")) / 1_000_000)
-    return (
-        attempts.withColumn("_t", micros)
-        .withColumn("failures", F.count("*").over(trailing))
-        .withColumn(
-            "wait_seconds",
-            F.when(
-                (fifth > F.col("_t") - WINDOW_MICROS), F.greatest(F.lit(1), wait)
-            ).otherwise(0).cast("bigint"),
-        )
-        .drop("_t")
+    counted = (
+        binned.withColumn("failures", F.count("*").over(trailing))
+        .withColumn("wait_seconds", F.when(fifth > F.col("_t") - WINDOW_MICROS, F.greatest(F.lit(1), wait)).otherwise(0).cast("bigint"))
+        .filter("_b.own")
+        .drop("_t", "_b")
     )
+    timeless = rows.filter("_t is null").drop("_t")
+    return counted.unionByName(timeless, allowMissingColumns=True)
 
 
 def greedy_limit(tries: DataFrame, key: str, at: str = "at", limit: int = MAX_TRIES) -> DataFrame:
