@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -91,8 +92,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_feistel_pseudonyms")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with pseudonyms; the key comes from the session's settings."""
-    key = spark.conf.get("velaria.pseudonym.key", "a key for trials")
+    """All documents with pseudonyms under the session's key.
+
+    A session without `velaria.pseudonym.key` gets a random one, which is in its settings from then on: no published
+    key can undo a pseudonym, and whoever needs the same ones in another session sets the key.
+    """
+    key = spark.conf.get("velaria.pseudonym.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("velaria.pseudonym.key", key)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, key)
 
