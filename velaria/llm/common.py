@@ -7,6 +7,7 @@ a random weight for each byte value, times a power of an odd constant for its pl
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -65,6 +66,18 @@ def added(schema: T.StructType, new: str | T.StructType) -> tuple[list[str], T.S
     return [f.name for f in kept], T.StructType([*kept, *new])
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: workers are used again, and what one stage freed the next may need."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def map_text(
     df: DataFrame,
     text: str,
@@ -96,6 +109,7 @@ def map_text(
                 extras = {c: part.column(width + 1 + i) for i, c in enumerate(extra)}
                 out = chunk(plain, extras | {"__is_null": pc.is_null(texts)})
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *out], names=names)
+        give_back()
 
     return plan.mapInArrow(run, schema)
 
@@ -204,11 +218,7 @@ class Words:
         return self.raw[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
 
-def span_hashes(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that lie one after another in `flat`."""
-    if not len(lengths):
-        return np.zeros(0, np.uint64)
-    begin = np.cumsum(lengths) - lengths
+def _span_hashes(flat: np.ndarray, lengths: np.ndarray, begin: np.ndarray) -> np.ndarray:
     place = np.arange(len(flat)) - np.repeat(begin, lengths)
     h = _WEIGHT[flat]
     h *= powers(int(lengths.max()) + 1)[place]
@@ -216,6 +226,19 @@ def span_hashes(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return splitmix(h + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def span_hashes(flat: np.ndarray, lengths: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of byte spans that lie one after another in `flat`, made about `most` bytes at a time."""
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(lengths) - lengths
+    cuts = [0, *(np.flatnonzero(np.diff(begin // most)) + 1).tolist(), len(lengths)]
+    edges = [*begin[cuts[:-1]].tolist(), len(flat)]
+    out = np.empty(len(lengths), np.uint64)
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        out[a:b] = _span_hashes(flat[edges[i] : edges[i + 1]], lengths[a:b], begin[a:b] - edges[i])
+    return out
+
+
 def words_of(texts: pa.Array, inside: np.ndarray = SPACED, lower: bool = False) -> Words:
     raw, offsets = text_bytes(texts)
     return Words(LOWER[raw] if lower else raw, offsets, inside)

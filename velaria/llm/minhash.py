@@ -22,10 +22,10 @@ count as linked.  An empty table gives an empty result; input columns named like
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -273,12 +273,14 @@ def _shared_buckets(named: DataFrame) -> DataFrame:
     bitmap = bitmap_of(shared)
     slots, words = F.pmod(F.xxhash64("bucket"), F.lit(len(bitmap) * 32)), named.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def maybe(slot: pd.Series) -> pd.Series:
-        at = slot.to_numpy()
-        return pd.Series((words.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1)
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            hit = (words.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1
+            yield batch.select(["rep", "band", "bucket"]).filter(pa.array(hit))
 
-    rows = named.select("rep", F.posexplode("bands").alias("band", "bucket")).where(maybe(slots))
+    rows = named.select("rep", F.posexplode("bands").alias("band", "bucket")).select("*", slots.alias("slot"))
+    rows = rows.mapInArrow(maybe, "rep long, band int, bucket long")
     return common.written(rows.join(shared.withColumnRenamed("id", "bucket"), "bucket", "left_semi").select("rep", "band", "bucket"), "buckets")
 
 
