@@ -26,21 +26,21 @@ BITMAP_BITS = 1 << 24
 BATCH_ROWS = 512
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, *read: str) -> DataFrame:
     """Whole rows in one column beside those an operator reads, so that no name can clash."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return docs.select(columns, F.col("text"), F.col("lang"))
+    return docs.select(columns, *read)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _rows(docs)
+    rows = _rows(docs, "text", "lang")
     scored = perplexity.score(rows, perplexity.fit(docs), keep=["__row", "lang"])
     return perplexity.judge(common.written(scored, "scored")).where("kept").select("__row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _rows(docs).select("__row")
+    rows = _rows(docs)
     judged = minhash.near_duplicates(docs.select("doc_id", "text"), threshold=SIMILAR)
     gone = common.written(judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "gone")
     # Texts that are surely not among those that go aren't shuffled: a bitmap of hashed ids, as a table of a bounded
@@ -59,13 +59,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = decontaminate.contamination(docs.select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
     bad = judged.where("contaminated").select("doc_id", "text_key").distinct()
-    own = _rows(docs).select("__row", F.xxhash64("text").alias("key"))
+    own = _rows(docs, "text").select("__row", F.xxhash64("text").alias("key"))
     same = F.col("__row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
     return own.join(bad, same, "left_anti").select("__row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = credentials.scan(_rows(docs), keep=["__row"], clean="__clean", words=credentials.ranked_words(docs))
+    found = credentials.scan(_rows(docs, "text"), keep=["__row"], clean="__clean", words=credentials.ranked_words(docs))
     values = {c: F.col(f"`__row`.`{c}`") for c in docs.columns}
     values["text"] = F.col("__clean")
     if "n_chars" in values:
