@@ -178,11 +178,19 @@ def test_added_tokens_like_the_library_as_loaded(spark):
         ids = np.array([*want[r["doc_id"]], 0], "<u4")
         assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
     at = 0
-    found = {r["doc_id"]: r for r in rans.documents_in(*rans.archive(rows, tokens.tokenizer_path())).collect()}
+    folder = rans.archive(rows, tokens.tokenizer_path())
+    found = {r["doc_id"]: r for r in rans.documents_in(spark, folder).collect()}
     assert {d: r["ids_crc32"] for d, r in found.items()} == {d: zlib.crc32(np.array([*want[d], 2], "<u4").tobytes()) for d in range(40)}
     for r in sorted(found.values(), key=lambda r: r["start"]):
         assert r["start"] == at
         at += len(want[r["doc_id"]]) + 1
+    # The folder alone is read: without its table, or with another one, nothing comes out.
+    table, lanes, steps = rans.read_table(spark, f"{folder}/table")
+    assert (lanes, steps, int(table.freq.sum())) == (rans.LANES, rans.STEPS, 1 << rans.SCALE_BITS)
+    spoilt = spark.read.parquet(f"{folder}/table").withColumn("crc32", F.col("crc32") + 1)
+    spoilt.write.parquet(f"{folder}/spoilt")
+    with pytest.raises(ValueError):
+        rans.read_table(spark, f"{folder}/spoilt")
 
 
 @pytest.mark.parametrize("many_pairs", [2000, 0])
@@ -297,18 +305,18 @@ def test_pseudonyms(spark, docs, nothing):
     assert pseudonyms.pseudonymise(nothing, "k").count() == 0
 
 
-def test_archive(docs, nothing):
+def test_archive(spark, docs, nothing):
     path = tokens.tokenizer_path()
     encode = tokens.Encoder.get(path).tokenizer.encode
-    blocks, freq = rans.archive(docs, path)
-    rows = sorted(rans.documents_in(blocks, freq).collect(), key=lambda r: r["start"])
+    folder = rans.archive(docs, path)
+    rows = sorted(rans.documents_in(spark, folder).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == sorted((d for d, *_ in ROWS), key=lambda d: (d is not None, d))
     at, texts = 0, {d: b for d, b, *_ in ROWS}
     for r in rows:
         ids = np.array([*encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    assert rans.documents_in(*rans.archive(nothing, path)).count() == 0
+    assert rans.documents_in(spark, rans.archive(nothing, path)).count() == 0
 
 
 def test_block_coder():

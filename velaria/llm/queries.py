@@ -34,8 +34,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_rans_archive")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids from the compressed files."""
-    blocks, frequencies = rans.archive(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
-    return rans.documents_in(blocks, frequencies)
+    return rans.documents_in(spark, rans.archive(table(spark, sf_dir, "documents"), tokens.tokenizer_path()))
 
 
 @query("op5_minhash_near_dedup")

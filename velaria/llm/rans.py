@@ -3,7 +3,8 @@
 One frequency table, counted over all ids and scaled to 2^20, serves every block.  A block holds whole
 documents and is coded by itself in `LANES` interleaved states; every `STEPS` rows of ids it keeps a
 checkpoint (the states and the place in the words), from which decoding can start, and a checksum of the
-ids up to the next one.  Blocks are rows of Parquet files, so any store that Spark reads will do.
+ids up to the next one.  Blocks are rows of Parquet files, so any store that Spark reads will do.  The table
+lies beside them with its scale, lanes, steps and checksum, so the folder alone is enough to read an archive.
 
 Layout of a block (little-endian): ids n (u8), checkpoints k (u4), words w (u4), k checksums (u4),
 k word places (u4), k x LANES states (u8), w words (u4).  Ids are dealt out to lanes row by row; the last
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from velaria.llm import common
 from velaria.llm.tokens import Encoder
@@ -31,7 +32,7 @@ from velaria.llm.tokens import Encoder
 SCALE_BITS = 20
 LOWEST = np.uint64(1 << 31)
 LANES = 1024
-STEPS = 64
+STEPS = 128
 BLOCK_IDS = 1 << 18
 
 
@@ -190,7 +191,7 @@ def counted(ids: DataFrame) -> np.ndarray:
 BLOCKS = "part int, block int, before long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def write_blocks(ids: DataFrame, table: Table, parts: int) -> DataFrame:
+def write_blocks(ids: DataFrame, table: Table, parts: int, path: str) -> None:
     """Blocks in ascending order of doc_id: (part, block) is their order, `before` the ids before them in the part."""
     shared = ids.sparkSession.sparkContext.broadcast(table.freq)
 
@@ -232,11 +233,29 @@ def write_blocks(ids: DataFrame, table: Table, parts: int) -> DataFrame:
             yield close()
 
     dealt = ids.repartitionByRange(parts, "doc_id", "nth").sortWithinPartitions("doc_id", "nth")
-    return common.written(dealt.select("doc_id", "width", "ids").mapInArrow(run, BLOCKS), "rans")
+    dealt.select("doc_id", "width", "ids").mapInArrow(run, BLOCKS).write.parquet(path)
 
 
-def read_blocks(blocks: DataFrame, table: Table) -> DataFrame:
-    """Per document from its block: doc_id, part, ids before it in the part, and what `decode` gives, as binary."""
+TABLE = "scale_bits int, lanes int, steps int, crc32 long, freq binary"
+
+
+def write_table(spark: SparkSession, table: Table, path: str) -> None:
+    """The table as one row: frequencies of ids from 0 on as little-endian unsigned 32-bit integers."""
+    raw = table.freq.astype("<u4").tobytes()
+    spark.createDataFrame([(SCALE_BITS, LANES, STEPS, zlib.crc32(raw), bytearray(raw))], TABLE).write.parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> tuple[Table, int, int]:
+    """The table of an archive with its lanes and steps; a wrong checksum or another scale raises ValueError."""
+    row = spark.read.schema(TABLE).parquet(path).head()
+    raw = bytes(row["freq"]) if row else b""
+    if row is None or zlib.crc32(raw) != row["crc32"] or row["scale_bits"] != SCALE_BITS:
+        raise ValueError(f"no sound frequency table at {path}")
+    return Table(np.frombuffer(raw, "<u4").astype(np.int64)), row["lanes"], row["steps"]
+
+
+def read_blocks(blocks: DataFrame, table: Table, lanes: int = LANES, steps: int = STEPS) -> DataFrame:
+    """Per document from its block: doc_id, part, ids before it in the part, and what `decode` gives, as a checksum."""
     shared = blocks.sparkSession.sparkContext.broadcast(table.freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +263,7 @@ def read_blocks(blocks: DataFrame, table: Table) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                ids = decode(row.column("payload")[0].as_py(), local)
+                ids = decode(row.column("payload")[0].as_py(), local, lanes, steps)
                 sizes = row.column("lengths").flatten().to_numpy()
                 of = np.concatenate([[0], np.cumsum(sizes)])
                 raw = ids.astype("<u4", copy=False)
@@ -263,26 +282,32 @@ def read_blocks(blocks: DataFrame, table: Table) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
 
 
-def archive(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_id: int = 2, part_ids: int = 1 << 24) -> tuple[DataFrame, Table]:
-    """Texts tokenized, counted and written as blocks; the blocks and their table."""
+def archive(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_id: int = 2, part_ids: int = 1 << 24) -> str:
+    """Texts tokenized, counted and written: the folder of the archive, with `blocks` and `table`."""
+    spark = df.sparkSession
     ids = common.written(token_rows(df, path, text, key, end_id), "ids", compression="zstd")
     counts = counted(ids)
     table = Table.scaled(counts)
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-int(counts.sum()) // part_ids))
-    return write_blocks(ids, table, parts), table
+    parts = max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // part_ids))
+    folder = common.new_folder(spark, "rans")
+    write_blocks(ids, table, parts, f"{folder}/blocks")
+    write_table(spark, table, f"{folder}/table")
+    return folder
 
 
-def documents_in(blocks: DataFrame, table: Table) -> DataFrame:
-    """Every document read back, with the ids before it in the whole archive.
+def documents_in(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document of an archive read back from its files, with the ids before it in the whole archive.
 
     Totals come as one row for each part, which are as many as tasks wrote.
     """
+    table, lanes, steps = read_table(spark, f"{folder}/table")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     totals = blocks.select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     rows = sorted((r["part"], r["n"]) for r in totals.groupBy("part").agg(F.sum("n").alias("n")).collect())
     starts, total = [], 0
     for part, n in rows:
         starts.append((part, total))
         total += n
-    base = blocks.sparkSession.createDataFrame(starts, "part int, base long")
-    read = read_blocks(blocks, table).join(F.broadcast(base), "part")
+    base = spark.createDataFrame(starts, "part int, base long")
+    read = read_blocks(blocks, table, lanes, steps).join(F.broadcast(base), "part")
     return read.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
