@@ -1,8 +1,8 @@
 """Secrets in texts: fixed forms, and values in credential contexts that would cost many guesses.
 
 The guess cost of a value is the least sum, over all ways to cut it in spans, of log10 of the guesses each
-span takes: a listed word by its rank, a date, a repeated run, a walk over the keyboard or a counting run,
-and brute force for single characters.  Dynamic programming over places finds it.  Words are ranked by a short
+span takes: a listed word by its rank, a date, a repeated unit of any length up to `LONGEST_UNIT`, a walk over
+the keyboard or a counting run (or part of one), and brute force for single characters.  Dynamic programming over places finds it.  Words are ranked by a short
 list of passwords, the tokenizer's vocabulary and, with `ranked_words`, the corpus itself.
 
 Null and empty texts have no spans.  Places are code points, ends exclusive.  Repeated rows get equal
@@ -54,10 +54,17 @@ LONGEST = 24
 #: Under the cost of eight random characters, three of which may form a run by chance (7.2).
 LEAST_COST = 7.0
 _LEET = str.maketrans("4@310$5!7", "aaeiossit")
-_DATE = re.compile(
-    r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d"
+_DAY, _MONTH = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])"
+#: Year first, day first and month first, the latter two with years of two digits as well; read at every place.
+_DATES = tuple(
+    re.compile(rf"(?=({a}([-/._]?){b}\2{c}))")
+    for a, b, c in (
+        (r"(?:19|20)\d\d", _MONTH, _DAY), (_DAY, _MONTH, r"(?:19|20)\d\d"), (_MONTH, _DAY, r"(?:19|20)\d\d"),
+        (_DAY, _MONTH, r"\d\d"), (_MONTH, _DAY, r"\d\d"),
+    )
 )
-_YEAR = re.compile(r"(?:19|20)\d\d")
+LONGEST_UNIT = 1024
+_YEAR = re.compile(r"(?=((?:19|20)\d\d))")
 _KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
 
@@ -72,6 +79,9 @@ def _near_keys() -> set[tuple[str, str]]:
 
 
 _NEAR = _near_keys()
+#: Walks over the keyboard and counting runs: whether one character follows another, and what each costs.
+_WALKS = ((lambda x, y: (x, y) in _NEAR, 0.45), (lambda x, y: abs(ord(x) - ord(y)) == 1, 0.1))
+_WALK_START = math.log10(47)
 
 
 @functools.cache
@@ -122,10 +132,29 @@ def all_ranks(words: dict[str, int] | None) -> dict[str, int]:
     return ranks
 
 
-def _spans(value: str, ranks: dict[str, int]) -> dict[int, list[tuple[int, float]]]:
-    """For each end the spans that are cheap to guess: (start, log10 of guesses)."""
-    # A few letters have lower case of two characters.
-    low, n = "".join(c.lower() if len(c.lower()) == 1 else c for c in value), len(value)
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit length) of the maximal runs of a repeated unit that isn't itself a repetition.
+
+    A unit of two or three characters comes three times at least, a longer one twice; the last one may be cut.
+    """
+    n = len(value)
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
+    out: list[tuple[int, int, int]] = []
+    for u in range(2, min(n // 2, LONGEST_UNIT) + 1):
+        same = np.concatenate([[False], codes[u:] == codes[:-u], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        for a, b in edges.reshape(-1, 2).tolist():
+            end, least = b + u, 2 * u if u >= 4 else 3 * u
+            if end - a < least or len(set(value[a : a + u])) == 1:
+                continue
+            if not any(u % v == 0 and c <= a and end <= d for c, d, v in out):
+                out.append((a, end, u))
+    return out
+
+
+def _spans(value: str, low: str, ranks: dict[str, int]) -> dict[int, list[tuple[int, float]]]:
+    """For each end the spans that are cheap to guess, but for walks: (start, log10 of guesses)."""
+    n = len(value)
     out: dict[int, list[tuple[int, float]]] = {}
 
     def add(a: int, b: int, cost: float) -> None:
@@ -138,10 +167,11 @@ def _spans(value: str, ranks: dict[str, int]) -> dict[int, list[tuple[int, float
                 if rank:
                     cased = 0.0 if value[a:b] == low[a:b] else 0.3
                     add(a, b, math.log10(rank + 1) + extra + cased)
-    for m in _DATE.finditer(value):
-        add(m.start(), m.end(), math.log10(366 * 130) + 0.3)
+    for pattern in _DATES:
+        for m in pattern.finditer(value):
+            add(m.start(), m.end(1), math.log10(366 * 130) + 0.3)
     for m in _YEAR.finditer(value):
-        add(m.start(), m.end(), math.log10(130))
+        add(m.start(), m.end(1), math.log10(130))
     run = 1
     for b in range(1, n + 1):
         if b < n and value[b] == value[b - 1]:
@@ -150,26 +180,30 @@ def _spans(value: str, ranks: dict[str, int]) -> dict[int, list[tuple[int, float
         if run >= 3:
             add(b - run, b, math.log10(36 * run))
         run = 1
-    for near, each in ((lambda x, y: (x, y) in _NEAR, 0.45), (lambda x, y: abs(ord(x) - ord(y)) == 1, 0.1)):
-        a = 0
-        for b in range(1, n + 1):
-            if b < n and near(low[b - 1], low[b]):
-                continue
-            if b - a >= 3:
-                add(a, b, math.log10(47) + each * (b - a - 1))
-            a = b
+    for a, b, u in repeats(value):
+        add(a, b, guess_cost(value[a : a + u], ranks) + math.log10(b - a))
     return out
 
 
 def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation takes; a brute-forced character takes ten."""
-    spans = _spans(value, listed_ranks() if ranks is None else ranks)
+    ranks = listed_ranks() if ranks is None else ranks
+    # A few letters have lower case of two characters.
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    spans = _spans(value, low, ranks)
     best = [0.0] * (len(value) + 1)
+    # The cheapest way to be within a walk of each kind; any part of a longest walk is one.
+    walks = [math.inf] * len(_WALKS)
     for b in range(1, len(value) + 1):
-        best[b] = best[b - 1] + 1.0
+        least = best[b - 1] + 1.0
         for a, cost in spans.get(b, ()):
             # Which kind of span it is has to be guessed as well.
-            best[b] = min(best[b], best[a] + cost + 0.3)
+            least = min(least, best[a] + cost + 0.3)
+        for i, (near, each) in enumerate(_WALKS):
+            on = walks[i] + each if b > 1 and near(low[b - 2], low[b - 1]) else math.inf
+            walks[i] = min(on, best[b - 1] + _WALK_START + 0.3)
+            least = min(least, walks[i])
+        best[b] = least
     return best[-1]
 
 
