@@ -314,6 +314,120 @@ def at_thresholds(entities: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     return entities.withColumn("threshold", F.explode_outer(levels)).filter("threshold is not null")
 
 
+def merged_at_thresholds(entities: DataFrame, keys, thresholds=THRESHOLDS) -> DataFrame:
+    """keys, threshold, label, start, end, score: islands of overlapping entities, for every threshold at once.
+
+    Entities come from overlapping windows of a text and are scored once; at a threshold those scored above it count,
+    and what overlaps under one label becomes one span (touching ones stay apart).  All thresholds share one shuffle
+    and one sort: each has its own running end.  Entities without a score count at none.
+    """
+    in_order = Window.partitionBy(*keys, "label").orderBy("start", "end", "score")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = [F.col("score") > t for t in thresholds]
+    opens = {}
+    for i, kept in enumerate(over):
+        free = F.coalesce(F.col("start") >= F.max(F.when(kept, F.col("end"))).over(before), F.lit(True))
+        opens[f"_new{i}"] = F.when(kept & free, 1).otherwise(0)
+    islands = {f"_island{i}": F.sum(f"_new{i}").over(upto) for i in range(len(over))}
+    levels = F.array(
+        *[
+            F.struct(F.lit(float(t)).alias("threshold"), F.when(kept, F.col(f"_island{i}")).alias("island"))
+            for i, (t, kept) in enumerate(zip(thresholds, over))
+        ]
+    )
+    placed = entities.select(*keys, "label", "start", "end", "score").withColumns(opens).withColumns(islands)
+    rows = placed.select(*keys, "label", "start", "end", "score", F.explode(levels).alias("_at")).filter("_at.island is not null")
+    return (
+        rows.groupBy(*keys, "label", F.col("_at.threshold").alias("threshold"), F.col("_at.island").alias("_island"))
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"))
+        .select(*keys, "threshold", "label", "start", "end", "score")
+    )
+
+
+def types_by(by: str, values, gold: DataFrame, pred: DataFrame, mapping: DataFrame, keys) -> DataFrame:
+    """A report by type for each value of the column `by` of the predictions (a threshold, a tool).
+
+    by, label, tp, fp, fn, precision, recall, f1, the strict ones, any_pii_precision and non_pii_fp.  Types without
+    annotation and prediction have no row; a value without predictions still has its missed annotations.
+    """
+    levels = F.explode(F.array(*map(F.lit, values))).alias(by)
+    typed, at = mapped(gold, mapping).select("*", levels), [by, *keys]
+
+    def summed(counts: DataFrame) -> DataFrame:
+        return with_scores(counts.groupBy(by, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+
+    overlap = summed(overlap_counts(typed, pred, at))
+    strict = summed(strict_counts(typed, pred, at)).select(
+        by, "label", *[F.col(c).alias(f"strict_{c}") for c in ("precision", "recall", "f1")]
+    )
+    touched = touches(pred.select(*keys, by, "label", "start", "end"), gold, keys).groupBy(by, "label").agg(
+        ratio(F.count_if("touches"), F.count("*")).alias("any_pii_precision"), F.count_if(~F.col("touches")).alias("non_pii_fp")
+    )
+    types = mapping.filter("type is not null").select(F.col("type").alias("label")).distinct()
+    joined = overlap.join(types, "label", "left_semi").join(strict, [by, "label"]).join(touched, [by, "label"], "left")
+    return joined.na.fill(0, ["non_pii_fp"]).na.fill(0.0, ["any_pii_precision"])
+
+
+def leaks_by(by: str, values, documents: DataFrame, gold: DataFrame, pred: DataFrame, mapping: DataFrame, keys, text: str = "text") -> DataFrame:
+    """Leaks for each value of `by`: a row per source label, and one for all of them, in one pass (grouping sets).
+
+    by, label, whole, documents, total, leaked, covered_total, covered_leaked.  The row for all has `whole` true and a
+    null label; it alone counts documents, those without annotations included.  Texts are joined to their spans once.
+    """
+    place = ["start", "end"]
+    marked = gold.groupBy(*keys).agg(F.collect_list(F.struct("label", *place)).alias("_gold"))
+    found = pred.groupBy(*keys).agg(F.collect_list(F.struct(by, *place)).alias("_pred"))
+    rows = documents.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = rows.join(marked, keys, "left").join(found, keys, "left")
+    some = F.coalesce("_pred", F.array().cast(found.schema["_pred"].dataType))
+
+    def cleared(value):
+        own = F.filter(some, lambda p: p[by] == F.lit(value))
+        return F.struct(F.lit(value).alias(by), blanked(F.col("_text"), own).alias("clear"))
+
+    clear = F.array(*map(cleared, values))
+    # Generators keep the blanked text as a value: it is made once for a document and value.
+    rows = rows.select("_gold", F.explode(clear).alias("_c")).select("_c.*", F.posexplode_outer("_gold").alias("_n", "_g"))
+    open_ = F.rlike(piece(F.col("clear"), F.col("_g.start"), F.col("_g.end")), F.lit(r"[\p{L}\p{N}]"))
+    judged = rows.select(by, F.col("_g.label").alias("label"), (F.coalesce("_n", F.lit(0)) == 0).alias("_first"), open_.alias("_leaked"))
+    judged = judged.join(mapping.select("label", "type"), "label", "left")
+    covered = F.col("type").isNotNull()
+    sets = judged.groupingSets([[by, "label"], [by]], by, "label").agg(
+        (F.grouping("label") == 1).alias("whole"),
+        F.count_if("_first").alias("documents"),
+        F.count("_leaked").alias("total"),
+        F.count_if("_leaked").alias("leaked"),
+        F.count(F.when(covered, F.col("_leaked"))).alias("covered_total"),
+        F.count_if(covered & F.col("_leaked")).alias("covered_leaked"),
+    )
+    return sets.filter("whole or label is not null")
+
+
+def threshold_rows(by_type: DataFrame, leaked: DataFrame, floor: float = PRECISION_FLOOR) -> DataFrame:
+    """One row per threshold from `types_by` and `leaks_by`: leaks, and all figures of the floor types with their flags.
+
+    A floor type without a row has zeros.
+    """
+    figures = [
+        *[F.max(c).alias(c) for c in ("precision", "recall", "strict_precision", "strict_recall", "tp", "fp", "fn")],
+        F.max(F.col("tp") + F.col("fn")).alias("gold"),
+        *[F.max(c).alias(c) for c in ("any_pii_precision", "non_pii_fp")],
+    ]
+    figured = by_type.groupBy("threshold").pivot("label", list(FLOOR_TYPES)).agg(*figures).na.fill(0)
+    flags = {}
+    for entity in FLOOR_TYPES:
+        flags[f"{entity}_meets_floor"] = F.col(f"{entity}_any_pii_precision") >= floor
+        flags[f"{entity}_meets_floor_by_type"] = F.col(f"{entity}_precision") >= floor
+    totals = leaked.filter("whole").select(
+        "threshold",
+        "documents",
+        leaks_per_100(F.col("leaked"), F.col("total")).alias("leaks_per_100"),
+        leaks_per_100(F.col("covered_leaked"), F.col("covered_total")).alias("covered_leaks_per_100"),
+    )
+    return totals.join(figured.withColumns(flags), "threshold")
+
+
 def floor_flags(by_type: DataFrame, floor: float = PRECISION_FLOOR) -> DataFrame:
     """One row per threshold from `by_type(threshold, label, precision, any_pii_precision...)`."""
     named = by_type.groupBy("threshold").pivot("label", list(FLOOR_TYPES)).agg(

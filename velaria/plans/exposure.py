@@ -249,15 +249,79 @@ def threshold_rows(spark, sf):
     return exposure.floor_flags(by_type)
 
 
+# What two overlapping windows of a text say: each entity again, a little further and less sure.
+_MERGED = f"""{_THRESHOLDS},
+ent as (select doc_id, start, "end", label, score from pred union all select doc_id, start + 2, "end" + 3, label, score * 0.7 from pred),
+mg as (select doc_id, threshold, label, min(start) as start, max("end") as "end" from (
+    select *, sum(opens) over (partition by doc_id, label, threshold order by start, "end", score rows unbounded preceding) as island from (
+      select *, case when start < max("end") over (partition by doc_id, label, threshold order by start, "end", score rows between unbounded preceding and 1 preceding)
+        then 0 else 1 end as opens from ent, t where score > threshold)) group by doc_id, threshold, label, island),
+"""
+_REPORT_SQL = """
+mtp as (select k.k, p.label, count(distinct ty.doc_id) as tp, count(distinct case when ty.start = p.start and ty."end" = p."end" then ty.doc_id end) as stp
+  from ks k join mp p using (k) join typed ty on ty.doc_id = p.doc_id and ty.label = p.label and ty.start < p."end" and p.start < ty."end" group by all),
+mnp as (select k, label, count(*) as np, count(*) filter (exists (select 1 from gold g where g.doc_id = p.doc_id and g.start < p."end" and p.start < g."end")) as touching
+  from mp p group by all),
+mng as (select label, count(*) as ng from typed group by label),
+rep as (select k, label, coalesce(tp, 0) as tp, coalesce(np, 0) - coalesce(tp, 0) as fp, ng - coalesce(tp, 0) as fn,
+    case when coalesce(np, 0) = 0 then 0 else coalesce(tp, 0) / np end::double as precision, (coalesce(tp, 0) / ng)::double as recall,
+    case when coalesce(np, 0) = 0 then 0 else coalesce(stp, 0) / np end::double as strict_precision, (coalesce(stp, 0) / ng)::double as strict_recall,
+    case when coalesce(np, 0) = 0 then 0 else touching / np end::double as any_pii_precision, coalesce(np - touching, 0) as non_pii_fp
+  from ks cross join mng left join mnp using (k, label) left join mtp using (k, label)),
+clear_ as (select distinct k.k, c.doc_id, c.label from alnum_chars c cross join ks k
+  where not exists (select 1 from mp p where p.k = k.k and p.doc_id = c.doc_id and p.start <= c.pos and c.pos < p."end")),
+lk as (select k.k, g.label, count(*) as total, count(c.doc_id) as leaked from gold g cross join ks k
+  left join clear_ c on c.k = k.k and c.doc_id = g.doc_id and c.label = g.label group by all)
+"""
+_AT_THRESHOLDS = _MERGED + "ks as (select threshold as k from t), mp as (select threshold as k, doc_id, label, start, \"end\" from mg)," + _REPORT_SQL
+_FIGURES = ("precision", "recall", "strict_precision", "strict_recall", "tp", "fp", "fn", "any_pii_precision", "non_pii_fp")
+_FULL_ROWS = f"""{_AT_THRESHOLDS}, rows_ as (select k as threshold, (select count(*) from documents) as documents,
+  (select (100.0 * sum(leaked) / sum(total))::double from lk where lk.k = rep.k) as leaks_per_100,
+  (select (100.0 * sum(leaked) / sum(total))::double from lk where lk.k = rep.k and label <> 'PAIS') as covered_leaks_per_100, """ + ", ".join(
+    ", ".join(f"max({c}) filter (label = '{e}')::{'bigint' if c in ('tp', 'fp', 'fn', 'non_pii_fp') else 'double'} as {e}_{c}" for c in _FIGURES)
+    + f", (max(tp + fn) filter (label = '{e}'))::bigint as {e}_gold"
+    + f", max(any_pii_precision) filter (label = '{e}') >= 0.85 as {e}_meets_floor, max(precision) filter (label = '{e}') >= 0.85 as {e}_meets_floor_by_type"
+    for e in exposure.FLOOR_TYPES
+) + " from rep group by k)"
+
+
+def windowed(spark, sf):
+    sure = pred(spark, sf, True)
+    again = sure.withColumns({"start": F.col("start") + 2, "end": F.col("end") + 3, "score": F.col("score") * 0.7})
+    return sure.unionByName(again)
+
+
+def full_threshold_rows(spark, sf):
+    merged = exposure.merged_at_thresholds(windowed(spark, sf), KEYS)
+    annotations, names = gold(spark, sf), mapping(spark)
+    by_type = exposure.types_by("threshold", exposure.THRESHOLDS, annotations, merged, names, KEYS)
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    leaked = exposure.leaks_by("threshold", exposure.THRESHOLDS, documents, annotations, merged, names, KEYS)
+    return exposure.threshold_rows(by_type, leaked)
+
+
+@query(
+    "e12_merged_thresholds",
+    f"with {BASE}, {_MERGED} n as (select threshold, label, count(*) as spans, sum(\"end\" - start)::bigint as chars from mg group by all) select * from n",
+)
+def e12_merged_thresholds(spark, sf):
+    return exposure.merged_at_thresholds(windowed(spark, sf), KEYS).groupBy("threshold", "label").agg(
+        F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).alias("chars")
+    )
+
+
+@query("e13_full_threshold_rows", f"with {BASE}, {_FULL_ROWS} select * from rows_")
+def e13_full_threshold_rows(spark, sf):
+    return full_threshold_rows(spark, sf)
+
+
 @query(
     "e14_choose_threshold",
-    f"with {BASE}, {_ROWS_SQL}, r as (select threshold, max(any_pii_precision) filter (label = 'PERSON') as p, max(any_pii_precision) filter (label = 'ADDRESS') as a from by_t group by threshold), "
-    "f as (select *, p >= 0.85 and a >= 0.85 as good, 10.0 * threshold as covered from r) "
-    "select threshold, good as floor_met from f order by good desc, case when good then -covered else least(p, a) end desc, threshold desc limit 1",
+    f"with {BASE}, {_FULL_ROWS}, f as (select *, PERSON_any_pii_precision >= 0.85 and ADDRESS_any_pii_precision >= 0.85 as good from rows_) "
+    "select threshold, good as floor_met from f order by good desc, case when good then -covered_leaks_per_100 else least(PERSON_any_pii_precision, ADDRESS_any_pii_precision) end desc, threshold desc limit 1",
 )
 def e14_choose_threshold(spark, sf):
-    rows = threshold_rows(spark, sf).withColumn("covered_leaks_per_100", F.col("threshold") * 10)
-    return exposure.choose_threshold(rows)
+    return exposure.choose_threshold(full_threshold_rows(spark, sf))
 
 
 @query(
@@ -266,6 +330,14 @@ def e14_choose_threshold(spark, sf):
     "select tool, label, count(*) filter (exists (select 1 from gold g where g.doc_id = t.doc_id and g.start < t.\"end\" and t.start < g.\"end\")) as touching, count(*) as predictions from tools t where label in ('EMAIL','PHONE','PERSON') group by all",
 )
 def e15_tool_comparison(spark, sf):
+    compared, annotations = tools(spark, sf), gold(spark, sf)
+    return exposure.touches(compared, annotations, KEYS).groupBy("tool", "label").agg(
+        F.count_if("touches").alias("touching"), F.count("*").alias("predictions")
+    )
+
+
+def tools(spark, sf):
+    """Our predictions and another tool's under our types, for the types both cover and the data annotates."""
     ours = pred(spark, sf)
     names = {"EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "PERSON": "PERSON", "LOCATION": None}
     back = {v: k for k, v in names.items() if v} | {"ES_DNI": "LOCATION"}
@@ -276,18 +348,37 @@ def e15_tool_comparison(spark, sf):
     )
     tool_map = spark.createDataFrame(list(names.items()), "label string, type string")
     theirs = exposure.tool_labels(raw, tool_map)
-    annotations = gold(spark, sf)
     shared = exposure.shared_types(
-        annotations,
+        gold(spark, sf),
         mapping(spark),
         spark.createDataFrame([(t,) for t in TYPES], "type string"),
         tool_map.filter("type is not null"),
     )
     both = ours.withColumn("tool", F.lit("ours")).unionByName(theirs.withColumn("tool", F.lit("other")))
-    compared = both.join(shared, both.label == shared.type, "left_semi")
-    return exposure.touches(compared, annotations, KEYS).groupBy("tool", "label").agg(
-        F.count_if("touches").alias("touching"), F.count("*").alias("predictions")
-    )
+    return both.join(shared, both.label == shared.type, "left_semi")
+
+
+_TOOLS = """ks(k) as (values ('ours'), ('other')),
+mp as (select * from (select 'ours' as k, doc_id, label, start, "end" from pred union all
+  select 'other', doc_id, label, start + 2, "end" + 2 from pred where label <> 'ADDRESS') where label in ('EMAIL','PHONE','PERSON')),
+""" + _REPORT_SQL
+
+
+@query(
+    "e15_tool_report",
+    f"with {BASE}, {_TOOLS} select k as tool, rep.label as label, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, precision, recall, strict_precision, strict_recall, "
+    "any_pii_precision, non_pii_fp::bigint as non_pii_fp, leaked, total from rep join mapping m on m.type = rep.label "
+    "join (select k, label as source, leaked, total from lk) using (k) where source = m.label and rep.label in ('EMAIL','PHONE','PERSON')",
+)
+def e15_tool_report(spark, sf):
+    compared, annotations, names = tools(spark, sf), gold(spark, sf), mapping(spark)
+    values = ("ours", "other")
+    by_type = exposure.types_by("tool", values, annotations, compared, names, KEYS)
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    leaked = exposure.leaks_by("tool", values, documents, annotations, compared, names, KEYS).join(names, "label")
+    leaked = leaked.select("tool", F.col("type").alias("label"), "leaked", "total")
+    shared = by_type.filter(F.col("label").isin("EMAIL", "PHONE", "PERSON"))
+    return shared.join(leaked, ["tool", "label"]).drop("f1", "strict_f1")
 
 
 @query(

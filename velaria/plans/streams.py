@@ -90,6 +90,18 @@ def s06_sse_events(spark, sf):
     return said.filter("piece is not null").select("stream_id", "event_no", "piece")
 
 
+@query(
+    "s06_chunk_events",
+    _STREAMS + ", p as (select stream_id, text_ord, unnest(regexp_extract_all(masked_text, '(?s).{1,25}')) as piece, generate_subscripts(regexp_extract_all(masked_text, '(?s).{1,25}'), 1) as i from s) "
+    "select stream_id, i::int as event_no, piece from p",
+)
+def s06_chunk_events(spark, sf):
+    texts, _ = answers(spark, sf)
+    said = sse.chunk_events(chunks(texts.drop("scope_id")).filter("not last"))
+    said = said.withColumn("piece", F.get_json_object("data", "$.choices[0].delta.content"))
+    return said.filter("piece is not null").select("stream_id", "event_no", "piece")
+
+
 @query(
     "s07_format_event",
     "select event_id, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || 'data: ' || cast(user_id as varchar) || chr(10) || chr(10) as written, "
