@@ -110,6 +110,27 @@ def test_keys_over_many_values(spark, parts):
     assert {r.request_id for r in secrets.split_over_values(df, table).collect()} == {1, 4}
 
 
+def test_split_keys_store_no_more_rows_than_keys_and_values_have(spark, monkeypatch):
+    # Values that begin with what many keys end with, or that many keys hold somewhere.
+    rng = random.Random(9)
+    keys = ["sk-proj-" + "".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(200)]
+    rows = [(i, v) for i, key in enumerate(keys) for v in (key[18:], "x", str(i % 10), key[:18])]
+    rows += [(1000 + i, v) for i, key in enumerate(keys) for v in (key[18:], "7", key[:17])]
+    sizes = []
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes.append(out.count())
+        return out
+
+    stored = secrets.stored
+    monkeypatch.setattr(secrets, "stored", counted)
+    df, table = spark.createDataFrame(rows, "request_id int, value string"), spark.createDataFrame([(k,) for k in keys], "key string")
+    got = {r.request_id for r in secrets.split_over_values(df, table).collect()}
+    assert got == set(range(200)) | {1000 + i for i, key in enumerate(keys) if key[17] == "7"}
+    assert max(sizes) <= sum(map(len, keys)) + len(rows)
+
+
 def test_layers_of_any_depth(spark):
     import json
 

@@ -167,6 +167,17 @@ def split_maybe(df: DataFrame, ids: DataFrame, by: list[str]) -> tuple[DataFrame
     return df.where(test), df.where(~test)
 
 
+def only_known(df: DataFrame, hashes: DataFrame, column: str = "h") -> DataFrame:
+    """Rows whose hash is probably among `hashes`; none that is gets lost, and nothing is shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(hashes))
+
+    @pandas_udf(BooleanType())
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(holds(shared.value, h.to_numpy()))
+
+    return df.where(maybe(F.col(column)))
+
+
 # -------------------------------------------------------------------------------- search
 
 Spans = Callable[[list[Codes]], Iterator[tuple[np.ndarray, np.ndarray]]]

@@ -134,73 +134,114 @@ def texts_with_keys(texts: DataFrame, keys: DataFrame, ids, text: str = "text")
     return search.beside_texts(pairs, texts.select(*ids, text), ids).filter(held).select(*ids).distinct()
 
 
-WHOLE, OPENS, CLOSES, INSIDE = range(4)
+OPENS, WHOLE, CLOSES, INSIDE = range(4)
+#: A beginning of a key is only looked up where these many of its first characters are known.
+FIRST_TESTS = (1, 4, 8, 16)
 
 
-def _key_pieces(keys: DataFrame) -> DataFrame:
-    """kind, piece, before, after, h: pieces of keys and the key's text before and after each.
+def _beginnings(keys: DataFrame) -> DataFrame:
+    """kind, said, h: what keys begin with (OPENS), and keys (INSIDE), each once.
 
-    A value in the middle is a whole piece; a first one ends with the key's beginning, and a last one begins with
-    the key's end.  A value that holds a key holds its last characters.
+    As many rows as the keys have characters, at most.
     """
-    places = keys.filter(F.col("key") != "").select("key").distinct().withColumn("n", F.length("key"))
-    cut = places.select("key", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    cut = cut.select("key", "n", "i", F.explode(F.sequence(F.col("i") + 1, F.col("n"))).alias("j"))
-    said = {"piece": F.substring("key", F.col("i") + 1, F.col("j") - F.col("i")), "before": F.substring("key", F.lit(1), F.col("i")), "after": F.substring("key", F.lit(1), F.col("j"))}
-    said = [c.alias(n) for n, c in said.items()]
-    whole = cut.filter("i > 0 and j < n").select(F.lit(WHOLE).alias("kind"), *said)
-    opens = cut.filter("i = 0 and j < n").select(F.lit(OPENS).alias("kind"), *said)
-    closes = cut.filter("i > 0 and j = n").select(F.lit(CLOSES).alias("kind"), *said)
-    size = F.least("n", F.lit(ANCHOR))
-    inside = places.select(F.lit(INSIDE).alias("kind"), F.substring("key", F.col("n") - size + 1, size).alias("piece"), F.lit("").alias("before"), F.col("key").alias("after"))
-    rows = whole.union(opens).union(closes).union(inside).distinct()
-    return rows.withColumn("h", search.needle_hash("piece", "kind"))
-
-
-def _value_places(longest: int, sizes: list[int]):
-    """Spans of a value that could be a piece of a key."""
+    places = keys.filter(F.col("key") != "").select("key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("n"))
+    kind = F.when(F.col("n") < F.length("key"), OPENS).otherwise(INSIDE)
+    rows = places.select(kind.alias("kind"), F.substring("key", F.lit(1), F.col("n")).alias("said")).distinct()
+    return rows.withColumn("h", search.needle_hash("said", "kind"))
+
+
+def _value_places(sizes: list[int], known: np.ndarray):
+    """Spans of a value that could be a beginning of a key at its end, or a key; `known` is a bitmap of both."""
+    longest = sizes[-1]
+
+    def begins(text: search.Codes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which spans have first characters that a longer key begins with too."""
+        left = np.arange(len(start))
+        for n in FIRST_TESTS:
+            part = left[end[left] - start[left] > n]
+            out = part[~search.holds(known, text.hashes(start[part], start[part] + n, OPENS))]
+            left = np.setdiff1d(left, out, assume_unique=True)
+        return left
 
     def places(codes: list[search.Codes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         (text,) = codes
         start, end = text.of[:-1], text.of[1:]
-        rows = np.flatnonzero((end > start) & (end - start < longest))
-        yield rows, text.hashes(start[rows], end[rows], WHOLE)
         for n in range(1, longest):
             rows = np.flatnonzero(end - start >= n)
+            rows = rows[begins(text, end[rows] - n, end[rows])]
             yield rows, text.hashes(end[rows] - n, end[rows], OPENS)
-            yield rows, text.hashes(start[rows], start[rows] + n, CLOSES)
+        rows = text.rows()
         for n in sizes:
-            yield text.grams(n, INSIDE)
+            at = np.flatnonzero(np.arange(len(rows)) + n <= text.of[1:][rows])
+            at = at[begins(text, at, at + n)]
+            yield rows[at], text.hashes(at, at + n, INSIDE)
 
     return places
 
 
+def _steps(reached: DataFrame, values: DataFrame, begun: DataFrame, sizes: list[int]) -> DataFrame:
+    """request, id, n, kind, before, after: values that lead on from what is reached of a key, or close one.
+
+    A value is put behind what is reached, and the whole is looked up among the beginnings of keys.  So a short value
+    costs no more than a long one, however many keys hold it somewhere.
+    """
+    said = F.concat("before", "start")
+    size = F.length(said)
+    tried = [
+        F.when(F.lit(n).between(F.length("before") + 1, size), F.struct(F.lit(INSIDE).alias("k"), F.substring(said, 1, n).alias("after")))
+        for n in sizes
+    ]
+    whole = F.when(F.col("fits") & (size < sizes[-1]), F.struct(F.lit(OPENS).alias("k"), said.alias("after")))
+    pairs = reached.select("request", "before").distinct().join(values, "request")
+    rows = pairs.select("request", "id", "n", "before", F.explode(F.filter(F.array(whole, *tried), lambda t: t.isNotNull())).alias("t"))
+    rows = rows.select("request", "id", "n", "before", "t.*", search.needle_hash("t.after", "t.k").alias("h"))
+    rows = search.only_known(rows, begun).join(begun.select("h", F.col("kind").alias("k"), F.col("said").alias("after")), ["h", "k", "after"])
+    return rows.select("request", "id", "n", F.when(F.col("k") == OPENS, WHOLE).otherwise(CLOSES).alias("kind"), "before", "after").distinct()
+
+
 def split_over_values(values: DataFrame, keys: DataFrame, request: str = "request_id", value: str = "value") -> DataFrame:
     """Requests whose values, some of them joined in some order, hold a configured key.
 
-    Values are matched with pieces of keys once; then what is reached of a key grows value by value: a first value
-    opens a key, whole values lead from one place in it to the next, a last one closes it.  No order is tried out,
-    and any number of values may take part.  A value is used once, as often as it occurs: those that fit in more
-    than one place of keys are remembered on the way (keys that repeat themselves are the only ones that make
-    many such ways).  Null and empty values say nothing.
+    What is reached of a key grows value by value: a first value ends with what a key begins with, whole values lead
+    from one place in it to the next, a last one begins with the rest.  Values are looked up only behind what their
+    own request has reached, so nothing is paired with all keys that hold a short value.  No order is tried out, and
+    any number of values may take part.  A value is used once, as often as it occurs: those that fit in more than one
+    place of keys are remembered on the way (keys that repeat themselves are the only ones that make many such
+    ways).  Null and empty values say nothing.
     """
-    once = values.filter(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(request, value).agg(F.count("*").alias("n"))
-    once = stored(once.select(F.col(request).alias("request"), F.col(value).alias("value"), F.xxhash64(value).alias("id"), "n"), "values")
-    pieces = stored(_key_pieces(keys), "pieces")
-    sizes = pieces.agg(F.max(F.length("after")).alias("longest"), F.collect_set(F.when(F.col("kind") == INSIDE, F.length("piece"))).alias("sizes")).first()
-    if sizes["longest"] is None:
+    begun = stored(_beginnings(keys), "beginnings")
+    sizes = [r.n for r in begun.filter(F.col("kind") == INSIDE).select(F.length("said").alias("n")).distinct().orderBy("n").collect()]
+    if not sizes:
         return values.select(request).limit(0)
-    found = search.candidates(once, once.columns, [F.col("value")], _value_places(sizes["longest"], sizes["sizes"]), pieces)
-    kind, said, piece = F.col("kind"), F.col("value"), F.col("piece")
-    true = (
-        F.when(kind == WHOLE, said == piece).when(kind == OPENS, F.endswith(said, piece))
-        .when(kind == CLOSES, F.startswith(said, piece)).otherwise(F.contains(said, F.col("after")))
-    )
-    edges = stored(found.join(pieces, "h").filter(true).select("request", "id", "n", "kind", "before", "after").distinct(), "edges")
+    once = values.filter(F.col(request).isNotNull() & F.col(value).isNotNull() & (F.col(value) != "")).groupBy(request, value).agg(F.count("*").alias("n"))
+    once = stored(once.select(F.col(request).alias("request"), F.col(value).alias("value"), F.xxhash64(value).alias("id"), "n"), "values")
+    known = search.bitmap(begun)
+    found = search.candidates(once, once.columns, [F.col("value")], _value_places(sizes, known), begun)
+    true = F.when(F.col("kind") == OPENS, F.endswith("value", F.col("said"))).otherwise(F.contains("value", F.col("said")))
+    met = stored(found.join(begun, "h").filter(true).select("request", "id", "n", "kind", "said").distinct(), "met")
+    hits = met.filter(F.col("kind") == INSIDE).select("request").distinct()
+
+    # What can be reached at all, whatever is used on the way: each beginning once for a request.
+    opens = met.filter(F.col("kind") == OPENS).join(hits, "request", "left_anti")
+    opens = opens.select("request", "id", "n", "kind", F.lit("").alias("before"), F.col("said").alias("after"))
+    longest = sizes[-1]
+    starts = once.select("request", "id", "n", F.substring("value", 1, longest).alias("start"), (F.length("value") < longest).alias("fits"))
+    starts = stored(search.only_maybe(starts, opens.select("request").distinct(), ["request"]), "starts")
+    edges = new = opens
+    reached = seen = stored(opens.select("request", F.col("after").alias("before")).distinct(), "seen")
+    while not reached.isEmpty():
+        new = stored(_steps(reached, starts, begun, sizes), "steps")
+        edges = edges.unionByName(new)
+        further = new.filter(F.col("kind") == WHOLE).select("request", F.col("after").alias("before")).distinct()
+        reached = stored(further.join(seen, ["request", "before"], "left_anti"), "reached")
+        seen = seen.union(reached)
+    # Only requests in which some way ends a key are walked.
+    ends = edges.filter(F.col("kind") == CLOSES).select("request").distinct()
+    edges = stored(edges.join(ends, "request", "left_semi").distinct(), "edges")
     often = edges.groupBy("request", "id").agg((F.count("*") > 1).alias("often"))
     edges = stored(edges.join(often, ["request", "id"]), "edges")
-    hits = edges.filter(kind == INSIDE).select("request").distinct()
 
+    kind = F.col("kind")
     mark = F.when(F.col("often"), F.array("id")).otherwise(F.array().cast("array<long>"))
     reached = stored(edges.filter(kind == OPENS).select("request", F.col("after").alias("before"), mark.alias("used")).distinct(), "reached")
     free = ~F.col("often") | (F.size(F.filter("used", lambda u: u == F.col("id"))) < F.col("n"))
