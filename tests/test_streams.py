@@ -183,3 +183,20 @@ def test_held_text_without_and_with_a_limit(spark, most):
     assert [r[3] for r in out if r[3]] == []
     if most:
         assert relay.step(state, "openai", "x" * 200, {}, most)[-1][3] == "stream_limit_exceeded"
+
+
+def test_chunks_are_cut_once_a_text(spark):
+    from velaria.plans.streams import chunks
+
+    texts = [("a", "x" * 95), ("b", ""), ("c", "é🙂\n" * 30)]
+    cut = chunks(spark.createDataFrame(texts, "stream_id string, text string"))
+    got = sorted((r.stream_id, r.seq, r.chunk, r.last) for r in cut.collect())
+    want = []
+    for name, text in texts:
+        parts = [text[i : i + 40] for i in range(0, len(text), 40)]
+        want += [(name, i, p, False) for i, p in enumerate(parts)] + [(name, len(parts), "", True)]
+    assert got == sorted(want)
+    # Nothing above the explode, which runs for every chunk, reads the text again; nor does a filter below it.
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "regexp" not in above and "Filter" not in plan and below.count("regexp_extract_all") == 1

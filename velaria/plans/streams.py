@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from velaria.functions.spans import let
 from velaria.operators import masking
 from velaria.plans.masking import TURNS, scanned_turns
 from velaria.plans.registry import query, table
@@ -44,10 +45,20 @@ def answers(spark, sf, provider="openai"):
 
 
 def chunks(texts, piece=PIECE):
-    """stream_id, seq, chunk, last: texts cut in pieces, and a closing row."""
+    """stream_id, seq, chunk, last: texts cut in pieces, and a closing row.
+
+    All that is said of a chunk is made in its text's row: beside an explode, it would be made anew for every chunk.
+    """
     cut = F.regexp_extract_all(F.col("text"), F.lit(rf"(?s).{{1,{piece}}}"), F.lit(0))
-    rows = texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(F.concat(cut, F.array(F.lit("")))).alias("seq", "chunk"), F.size(cut).alias("_n"))
-    return rows.withColumn("last", F.col("seq") == F.col("_n")).drop("_n")
+
+    def row(seq, chunk, last):
+        return F.struct(seq.cast("int").alias("seq"), chunk.alias("chunk"), F.lit(last).alias("last"))
+
+    def cells(c):
+        return F.concat(F.transform(c, lambda x, i: row(i, x, False)), F.array(row(F.size(c), F.lit(""), True)))
+
+    kept = [c for c in texts.columns if c != "text"]
+    return texts.select(*kept, F.explode_outer(let(cut, cells)).alias("_c")).select(*kept, "_c.*")
 
 
 def streamed(rows, provider, entries=None, **options):

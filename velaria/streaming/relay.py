@@ -425,33 +425,35 @@ class Relay(StatefulProcessor):
         self.handle = handle
         self.core = handle.getValueState("core", ", ".join(f"`{n}` {t}" for n, t in CORE.items()))
         maps = {
-            "values": ("token string", "value string"), "early": ("seq long", "chunk string, last boolean"),
+            "early": ("seq long", "chunk string, last boolean"),
             "slots": ("slot string", "rule string, text string"), "kinds": ("block string", "kind string"), "tails": ("net string", "tail string"),
         }
         self.maps = {name: handle.getMapState(name, *schema) for name, schema in maps.items()}
         self.fields = handle.getListState("fields", "name string, value string")
+        # Written once a stream, and read as a whole.
+        self.values = handle.getListState("values", "token string, value string")
 
     def _load(self) -> dict:
         """The state as `step` takes it, and `_was`, what the maps held."""
-        core = dict(zip(CORE, self.core.get())) if self.core.exists() else {}
+        core = dict(zip(CORE, self.core.get() or ()))
         state = new_state() | {n: v for n, v in core.items() if v is not None and CORE[n] != "int"}
         if core.get("envelope"):
             state["envelope"] = _json(core["envelope"])
         was = {}
-        for name in ("values", "slots", "kinds", "tails"):
+        for name in ("slots", "kinds", "tails"):
             items = self.maps[name].iterator() if core.get(name) else ()
             was[name] = {k[0]: tuple(v) for k, v in items}
         state["slots"] = {k: list(v) for k, v in was["slots"].items()}
         state["kinds"] = {k: v[0] for k, v in was["kinds"].items()}
         state["tails"] = {k: v[0] for k, v in was["tails"].items()}
-        state["values"] = {k: v[0] for k, v in was["values"].items()}
+        state["values"] = {k: v for k, v in self.values.get()} if core.get("values") else {}
         state["fields"] = [list(f) for f in self.fields.get()] if core.get("fields") else []
-        return state | {"early": core.get("early") or 0, "timer": core.get("timer"), "_was": was, "_fields": len(state["fields"])}
+        return state | {"early": core.get("early") or 0, "timer": core.get("timer"), "_was": was, "_held": core, "_values": dict(state["values"])}
 
     def _save(self, state: dict) -> None:
         now = {
             "slots": {k: tuple(v) for k, v in state["slots"].items()}, "kinds": {k: (v,) for k, v in state["kinds"].items()},
-            "tails": {k: (v,) for k, v in state["tails"].items()}, "values": {k: (v,) for k, v in state["values"].items()},
+            "tails": {k: (v,) for k, v in state["tails"].items()},
         }
         for name, held in now.items():
             was = state["_was"][name]
@@ -460,19 +462,26 @@ class Relay(StatefulProcessor):
             for key, value in held.items():
                 if was.get(key) != value:
                     self.maps[name].updateValue((key,), value)
+        if state["values"] != state["_values"]:
+            self.values.put(list(state["values"].items())) if state["values"] else self.values.clear()
         if state["fields"]:
             self.fields.put([tuple(f) for f in state["fields"]])
-        elif state["_fields"]:
+        elif state["_held"].get("fields"):
             self.fields.clear()
-        sizes = {name: len(held) for name, held in now.items()} | {"fields": len(state["fields"]), "early": state["early"]}
+        sizes = {name: len(held) for name, held in now.items()} | {n: len(state[n]) for n in ("fields", "values")} | {"early": state["early"]}
         envelope = dumped(state["envelope"]) if state.get("envelope") else None
         self.core.update(tuple((state | sizes | {"envelope": envelope}).get(n) for n in CORE))
 
-    def _clear(self) -> None:
-        for timer in list(self.handle.listTimers()) if self.idle is not None else ():
-            self.handle.deleteTimer(timer)
-        for held in (self.core, self.fields, *self.maps.values()):
-            held.clear()
+    def _clear(self, state: dict, expired: bool = False) -> None:
+        """What was written of the stream goes; one that came and ended at once left nothing, so nothing is asked."""
+        held = state["_held"]
+        if state["timer"] and not expired:
+            self.handle.deleteTimer(state["timer"])
+        if held:
+            self.core.clear()
+        for name, kept in {"fields": self.fields, "values": self.values, **self.maps}.items():
+            if held.get(name):
+                kept.clear()
 
     def _rows(self, key, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *row) for row in rows], columns=["stream_id", "event_no", "out", "unknown", "failure"])
@@ -485,15 +494,15 @@ class Relay(StatefulProcessor):
             return
         state, came, latest = self._load(), {}, None
         for frame in rows:
+            if self.idle is not None and not pd.isna(at := frame["at"].max()):
+                latest = max(latest or 0, int(pd.Timestamp(at).timestamp() * 1000))
             for row in frame.itertuples(index=False):
                 if row.entries is not None:
                     state["values"].update(dict(row.entries))
                 state["provider"] = row.provider or state.get("provider")
                 if row.seq >= state["next"]:
                     came[row.seq] = (row.chunk, bool(row.last))
-                if self.idle is not None and not pd.isna(row.at):
-                    latest = max(latest or 0, int(pd.Timestamp(row.at).timestamp() * 1000))
-        out, watch, closed = [], self._watch(state), False
+        out, watch, closed, ready = [], self._watch(state), False, []
         # In order: a chunk that came early waits for the ones before it.
         while not closed:
             at = state["next"]
@@ -507,11 +516,16 @@ class Relay(StatefulProcessor):
                 break
             state["next"] += 1
             if chunk:
-                out += step(state, state["provider"], chunk, state["values"], self.most, watch)
-            if closed:
-                out += step(state, state["provider"], None, state["values"], self.most, watch)
+                ready.append(chunk)
+        if self.most is None and state.get("provider") != "text":
+            # Any chunking gives the same events: what is there is read at once.  Limits and plain texts go by chunk.
+            ready = ["".join(ready)] if ready else []
+        for chunk in ready:
+            out += step(state, state["provider"], chunk, state["values"], self.most, watch)
         if closed:
-            self._clear()
+            out += step(state, state["provider"], None, state["values"], self.most, watch)
+        if closed:
+            self._clear(state)
         else:
             for seq, held in came.items():
                 state["early"] += not (state["early"] and self.maps["early"].containsKey((seq,)))
@@ -525,13 +539,14 @@ class Relay(StatefulProcessor):
                 state["timer"] = latest + self.idle
                 self.handle.registerTimer(state["timer"])
             self._save(state)
-        yield self._rows(key, out)
+        if out:
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Nothing came for too long: the stream ends here, and so does its state."""
         state = self._load()
         out = step(state, state.get("provider") or "events", None, state["values"], self.most, self._watch(state))
-        self._clear()
+        self._clear(state, expired=True)
         yield self._rows(key, out)
 
     def close(self) -> None:
