@@ -11,12 +11,14 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from velaria.operators import guard, masking
+from velaria.operators import guard, masking, needles as search
 from velaria.operators.detect import scan
 from velaria.operators.restoring import restore_scopes
 from velaria.session import materialize
@@ -42,6 +44,8 @@ STREAM_OPTIONS = ("include_usage", "include_obfuscation")
 LEAF_FIELDS = (
     "ord int, kind string, path array<string>, owners array<string>, value string, nested boolean"
 )
+LEAF_TYPES = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.bool_())
+LEAF_CHARS = 1 << 17
 
 
 def _fold(name: str) -> str:
@@ -129,35 +133,45 @@ def leaves(bodies: DataFrame, scope="scope_id", body="body", json_names=("argume
     valid object gives one row of kind `invalid`; a deeper one than MAX_DEPTH one of `too_deep`.
     """
 
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walked(text: str | None) -> list[tuple]:
+        found = []
+
+        def see(kind, path, owners, value, nested):
+            found.append((kind, path, owners, value, nested))
+            return value
+
+        try:
+            node = _strict(text)
+            if "\\" in text:
+                # An escape can spell half a character.
+                json.dumps(node, ensure_ascii=False).encode("utf-8")
+            if not isinstance(node, dict):
+                raise ValueError("not an object")
+            if _depth(node) > MAX_DEPTH:
+                return [("too_deep", (), (), None, False)]
+            _Walk(see, json_names)(node)
+        except (ValueError, RecursionError, TypeError, AttributeError):
+            return [("invalid", (), (), None, False)]
+        return found
+
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Some bodies at a time: their leaves, as Python objects, are many times their size.
         for batch in batches:
-            rows = []
-            for key, text in zip(batch[scope], batch[body]):
-                found = []
-
-                def see(kind, path, owners, value, nested):
-                    found.append((kind, list(path), list(owners), value, nested))
-                    return value
-
-                try:
-                    node = _strict(text)
-                    text.encode("utf-8")
-                    json.dumps(node, ensure_ascii=False).encode("utf-8")
-                    if not isinstance(node, dict):
-                        raise ValueError("not an object")
-                    if _depth(node) > MAX_DEPTH:
-                        found.append(("too_deep", [], [], None, False))
-                    else:
-                        _Walk(see, json_names)(node)
-                except (ValueError, RecursionError, TypeError, AttributeError):
-                    found = [("invalid", [], [], None, False)]
-                rows.extend((key, i, *leaf) for i, leaf in enumerate(found))
-            yield pd.DataFrame(
-                rows, columns=[scope, "ord", "kind", "path", "owners", "value", "nested"]
-            )
+            for part in search.text_pieces(batch, 1, LEAF_CHARS):
+                found = [walked(text) for text in part.column(1).to_pylist()]
+                sizes = np.array([len(f) for f in found])
+                columns = list(zip(*(leaf for f in found for leaf in f)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes))),
+                        pa.array(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), pa.int32()),
+                        *[pa.array(c, t) for c, t in zip(columns, LEAF_TYPES)],
+                    ],
+                    names=[scope, "ord", "kind", "path", "owners", "value", "nested"],
+                )
 
     kind = bodies.schema[scope].dataType.simpleString()
-    return bodies.select(scope, body).mapInPandas(flatten, f"`{scope}` {kind}, {LEAF_FIELDS}")
+    return bodies.select(scope, body).mapInArrow(flatten, f"`{scope}` {kind}, {LEAF_FIELDS}")
 
 
 def _rebuild(json_names):

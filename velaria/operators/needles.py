@@ -225,12 +225,12 @@ def under_salt(h: pd.Series, salt: pd.Series) -> pd.Series:
     return pd.Series(under(h.to_numpy().view(np.uint64), salt.to_numpy().view(np.uint64)).view(np.int64))
 
 
-def text_pieces(batch: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about `CHUNK_CHARS` in the columns from `first` on; a longer row comes alone."""
+def text_pieces(batch: pa.RecordBatch, first: int, chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of about `chars` in the columns from `first` on; a longer row comes alone."""
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns[first:]:
         sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    cell = np.cumsum(sizes) // CHUNK_CHARS
+    cell = np.cumsum(sizes) // chars
     cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
