@@ -72,6 +72,29 @@ def test_key_search_with_a_hot_text_and_short_keys(spark):
     assert secrets.texts_with_keys(df, table.limit(0), ["id"]).count() == 0
 
 
+def test_texts_meet_only_keys_they_hold_a_run_of(spark, monkeypatch):
+    # Keys over few signs share all their short pieces.
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("0123") for _ in range(n))
+    secret = [make(24) for _ in range(150)]
+    texts = [(i, make(40) + (secret[i][5:16] if i % 3 == 0 else "")) for i in range(150)]
+    pairs = []
+
+    def met(*args):
+        out = real(*args)
+        pairs.append(out.count())
+        return out
+
+    real = secrets.search.met
+    monkeypatch.setattr(secrets.search, "met", met)
+    df = spark.createDataFrame(texts, "id int, text string")
+    table = spark.createDataFrame([("sk-proj-" + s,) for s in secret], "key string")
+    runs = [{s[j : j + 10] for j in range(15)} for s in secret]
+    held = [(i, n) for i, t in texts for n in range(150) if any(t[j : j + 10] in runs[n] for j in range(len(t) - 9))]
+    got = {r.id for r in secrets.texts_with_keys(df, table, ["id"]).collect()}
+    assert got == {i for i, _ in held} and pairs == [len(held)]
+
+
 def _joined(values, key):
     """Plain search: every order of every choice of values."""
     return any(

@@ -18,7 +18,6 @@ from velaria.session import stored
 # --- Fixed values: what counts as a piece of a key --------------------------------------------
 FRAGMENT = 10
 SHOWN = 4
-ANCHOR = FRAGMENT // 2
 MASK = "*•·.…"
 ELLIPSIS = "…"
 LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
@@ -36,8 +35,9 @@ RUN, SHOWN_END, LAST, FIRST = range(4)
 def key_grams(keys: DataFrame) -> DataFrame:
     """key, secret, provider, kind, h: hashes of grams any text that holds a piece of the key must hold.
 
-    Every 5-gram of a secret part, the first 4 and last 4 characters of a provider key's, and for a whole key
-    whose secret part is too short for a run, its last 4 characters (or its first one).
+    Every run of ten characters of a secret part (shorter ones would be shared by ever more keys), the first 4 and
+    last 4 characters of a provider key's, and for a whole key whose secret part is too short for a run, its last 4
+    characters (or its first one).
     """
     parts = keys.filter(F.col("key") != "").select("key").distinct().select(
         "key", secret_part(F.col("key")).alias("secret"), F.col("key").startswith("sk-").alias("provider")
@@ -47,7 +47,7 @@ def key_grams(keys: DataFrame) -> DataFrame:
     def grams(kind, column):
         return F.struct(F.lit(kind).alias("kind"), column.alias("gram"))
 
-    runs = F.when(size >= FRAGMENT, F.transform(_grams(F.col("secret"), ANCHOR), lambda g: grams(RUN, g))).otherwise(none)
+    runs = F.when(size >= FRAGMENT, F.transform(_grams(F.col("secret"), FRAGMENT), lambda g: grams(RUN, g))).otherwise(none)
     ends = F.when(
         F.col("provider") & (size >= 2 * SHOWN),
         F.array(grams(SHOWN_END, F.substring("secret", 1, SHOWN)), grams(SHOWN_END, F.substring("secret", -SHOWN, SHOWN))),
@@ -67,7 +67,7 @@ def _key_places(kinds: set[int]):
     def places(codes: list[search.Codes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         (text,) = codes
         if RUN in kinds:
-            yield text.grams(ANCHOR, RUN)
+            yield text.grams(FRAGMENT, RUN)
         if SHOWN_END in kinds:
             # A shown end of up to nine characters stands right beside a mask.
             mask = np.isin(text.codes, np.array([ord(c) for c in MASK], np.uint32))

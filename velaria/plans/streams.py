@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from velaria.functions.spans import let
 from velaria.operators import masking
 from velaria.plans.masking import TURNS, scanned_turns
-from velaria.plans.registry import query, table
+from velaria.plans.registry import query, spread, table
 from velaria.session import materialize, new_folder
 from velaria.sources import sse
 from velaria.streaming import relay
@@ -193,7 +193,7 @@ def t08_split_keys(spark, sf):
     n = F.col("s_suppkey")
     key = F.concat(F.lit("sk-proj-"), F.substring(F.sha2(n.cast("string"), 256), 1, 30))
     parts = F.array(F.substring(key, 1, 12), F.substring(key, 13, 5), F.substring(key, 18, 21))
-    base = table(spark, sf, "supplier").select(n.alias("stream_id"), key.alias("key"), F.posexplode(parts).alias("event_no", "part"))
+    base = spread(table(spark, sf, "supplier").select("s_suppkey")).select(n.alias("stream_id"), key.alias("key"), F.posexplode(parts).alias("event_no", "part"))
     which = F.col("stream_id") % 3
     index = F.when(which == 1, F.col("event_no")).otherwise(0)
     shown = F.when((which == 2) & (F.col("event_no") > 0), "nothing").otherwise(F.col("part"))
@@ -290,7 +290,7 @@ def t08_key_watch(spark, sf):
         return F.when(which == 3, _chat(_arguments(whole))).otherwise(spoken)
 
     text = F.concat(F.array_join(F.transform(parts, event), ""), F.lit(_FINISH))
-    streams = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("stream_id"), text.alias("text"))
+    streams = spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(F.col("c_custkey").cast("string").alias("stream_id"), text.alias("text"))
     out = streamed(chunks(streams), "openai", keys=keys)
     said = F.get_json_object(F.regexp_extract("out", "data: (.*)", 1), "$.choices[0].delta.content")
     ordered = F.array_sort(F.collect_list(F.struct("event_no", F.coalesce(said, F.lit("")).alias("said"))))
