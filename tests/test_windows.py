@@ -58,3 +58,22 @@ def test_quantiles_equal_numpy_with_one_group_of_most_rows(spark):
     whole = exposure.latency(df, "v").first()
     assert np.allclose(tuple(whole), np.quantile([x for xs in values.values() for x in xs], [0.5, 0.95]))
     assert exposure.latency(df.limit(0), "v", ["g"]).count() == 0
+
+
+def test_windows_equal_a_plain_cut_and_place_blocks_not_tokens(spark):
+    import re
+
+    from velaria.operators import names
+
+    texts = ["", "  ", "a", " é🙂 b!!c ", "w " * 200, "w " * 201, " w" * 350, " w" * 351, "x" * 90, "ab, " * 130]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    plain = re.compile(r"\w{1,40}|[^\w\s]")
+    for size, shared in ((200, 50), (7, 3)):
+        cut = df.select("id", names.windows_of(F.col("text"), size, shared).alias("w"))
+        for r in cut.collect():
+            at = [m.span() for m in plain.finditer(texts[r.id])]
+            count = 1 if len(at) <= size else -(-(len(at) - size) // (size - shared)) + 1
+            want = [(at[i * (size - shared)][0], at[min(i * (size - shared) + size, len(at)) - 1][1]) for i in range(count)] if at else []
+            assert [(w.start, w.end) for w in r.w] == want
+        # Only blocks are folded over; a fold over tokens would add up gaps and widths.
+        assert "width" not in cut._jdf.queryExecution().analyzed().toString()

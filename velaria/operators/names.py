@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -57,23 +58,37 @@ def find_names(texts: DataFrame, names: DataFrame, keys, text: str = "text") ->
 
 
 def windows_of(view: Column, window: int = WINDOW_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
-    """array<struct<start,end>>: overlapping windows over every token of the text."""
+    """array<struct<start,end>>: overlapping windows over every token of the text.
 
-    def cut(tokens):
-        size, step = F.size(tokens), window - overlap
+    Windows start and end with blocks of tokens, so only the places of blocks are summed up, not those of tokens.
+    """
+    step = window - overlap
+    unit = gcd(window, step)
+
+    def block(c, b):
+        return F.length(F.array_join(F.slice(c, (b * unit + 1).cast("int"), F.lit(unit)), ""))
+
+    def cut(c):
+        size = F.size(c["tokens"])
         count = F.when(size <= window, 1).otherwise(F.ceil((size - window) / step) + 1).cast("int")
-        return F.when(
-            size > 0,
-            F.transform(
+        # A gap stands before each token; the one behind the last is no token's.
+        gaps = F.slice(c["gaps"], F.lit(1), size)
+        sizes = F.transform(F.sequence(F.lit(0), F.ceil(size / unit).cast("int") - 1), lambda b: block(gaps, b) + block(c["tokens"], b))
+        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda p, n: F.concat(p, F.array(F.element_at(p, -1) + n)))
+
+        def placed(p):
+            return F.transform(
                 F.sequence(F.lit(0), count - 1),
                 lambda i: F.struct(
-                    F.element_at(tokens, i * step + 1)["start"].alias("start"),
-                    F.element_at(tokens, F.least(i * step + window, size))["end"].alias("end"),
+                    (F.element_at(p, (i * (step // unit) + 1).cast("int")) + F.length(F.element_at(c["gaps"], i * step + 1))).alias("start"),
+                    F.element_at(p, F.least(i * (step // unit) + window // unit + 1, F.size(p)).cast("int")).alias("end"),
                 ),
-            ),
-        ).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+            )
+
+        return F.when(size > 0, let(ends, placed)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
-    return let(hits(view, TOKEN), cut)
+    tokens = F.regexp_extract_all(view, F.lit(TOKEN), F.lit(0))
+    return let(F.struct(tokens.alias("tokens"), F.split(view, TOKEN, -1).alias("gaps")), cut)
 
 
 def windows(texts: DataFrame, keys, text: str = "text") -> DataFrame:
