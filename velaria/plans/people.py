@@ -71,7 +71,7 @@ _WORD = "[\\p{L}\\p{N}_]{1,40}|[^\\p{L}\\p{N}_\\s\\p{Z}]"
     "select doc_id, unnest(range(case when n <= 200 then 1 else cast(ceil((n - 200) / 150.0) as int) + 1 end))::int as window from t where n > 0",
 )
 def n08_windows(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(names.windows_of(F.col("text"))).alias("window", "w"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode_outer(names.windows_of(F.col("text"))).alias("window", "w"))
     return rows.filter("w is not null").select("doc_id", "window")
 
 
