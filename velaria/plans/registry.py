@@ -33,7 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many tasks as there are cores, for work that is heavy per row.
 
-    A table in many files already is, and is left alone; a small single file is dealt out.
+    A table in many files already is, and is left alone; one in few files is dealt out, whatever its size: a
+    Parquet file may be cut in many splits of which only one holds rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = min(df.rdd.getNumPartitions(), len(df.inputFiles()))
+    return df.repartition(cores) if parts < cores else df
