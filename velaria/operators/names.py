@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import gcd
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from velaria.functions.spans import char_at, hits, let, piece
+from velaria.functions.spans import char_at, let, piece
 from velaria.functions.views import detector_view, model_view
+from velaria.operators import needles
+from velaria.session import stored
 
 # --- Fixed values: windows a model reads ------------------------------------------------------
 WINDOW_TOKENS = 200
@@ -28,33 +32,41 @@ def _edge(text: Column, at: Column) -> Column:
 
 
 def find_names(texts: DataFrame, names: DataFrame, keys, text: str = "text") -> DataFrame:
-    """Dictionary names in the texts: keys, start, end, label, in offsets of `text`.
+    """Dictionary names in the texts: keys, start, end, label, name, in offsets of `text`.
 
     `names(name, label)`.  A name is found where it stands with no letter or digit at its edges,
-    so its first word is a whole word of the text: texts and names meet in an equi-join on that
-    word, and only then is the name compared.  No pair of text and name is built otherwise.
+    so its first word is a whole word of the text.  Words are hashed where the text is, and only
+    those that may be a name's first one meet the names, in an equi-join on that word.  A name
+    that is one word is found by that; for longer ones the texts that met one are read again.
     """
+    keys = list(keys)
+    word = F.regexp_extract("name", RUN, 0)
     keyed = names.filter(F.col("name") != "").select(
         "name",
         "label",
-        F.regexp_extract("name", RUN, 0).alias("_word"),
+        word.alias("word"),
         F.length(F.regexp_extract("name", rf"\A([^\p{{L}}\p{{N}}]*)", 1)).alias("_shift"),
+        (word == F.col("name")).alias("_alone"),
     )
-    words = texts.select(*keys, F.explode_outer(hits(F.col(text), RUN)).alias("w")).filter(
-        "w is not null"
-    )
-    met = words.select(*keys, F.col("w.start").alias("_at"), F.col("w.hit").alias("_word")).join(
-        keyed, "_word"
-    )
-    start = F.col("_at") - F.col("_shift")
+    keyed = stored(keyed.filter("word <> ''").distinct(), "names")
+    hashes = keyed.select(needles.needle_hash("word", F.lit(needles.WORD)).alias("h")).distinct()
+    met = needles.placed_words(texts, keys, F.col(text), hashes).join(keyed, "word")
+    start = F.col("at") - F.col("_shift")
     end = start + F.length("name")
-    return (
-        met.join(texts.select(*keys, text), list(keys))
-        .filter((start >= 0) & (piece(F.col(text), start, end) == F.col("name")))
-        .filter(_edge(F.col(text), start - 1) & _edge(F.col(text), end))
-        .select(*keys, start.cast("int").alias("start"), end.cast("int").alias("end"), "label")
-        .distinct()
-    )
+    placed = [*keys, start.cast("int").alias("start"), end.cast("int").alias("end"), "label", "name"]
+    found = met.filter("_alone").select(*placed)
+    if not keyed.filter("not _alone").isEmpty():
+        longer = stored(met.filter("not _alone").select(*placed), "longer")
+        read = needles.only_maybe(texts, longer, keys).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(text).alias("_text"))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        said = piece(F.col("_text"), F.col("start"), F.col("end"))
+        longer = (
+            longer.join(read, same)
+            .filter((F.col("start") >= 0) & (said == F.col("name")))
+            .filter(_edge(F.col("_text"), F.col("start") - 1) & _edge(F.col("_text"), F.col("end")))
+        )
+        found = found.unionByName(longer.select(*keys, "start", "end", "label", "name"))
+    return found.distinct()
 
 
 def windows_of(view: Column, window: int = WINDOW_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:

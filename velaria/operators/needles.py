@@ -23,6 +23,7 @@ from velaria.session import stored
 
 CHUNK_CHARS = 1 << 20
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+WORD = 1  # the seed of whole words
 
 # ------------------------------------------------------------------------------ hashing
 
@@ -214,6 +215,29 @@ def candidates(texts: DataFrame, keep: list[str], columns: list[Column], spans:
     return plan.mapInArrow(run, schema.add("h", "long"))
 
 
+def placed_words(texts: DataFrame, keep: list[str], column: Column, hashes: DataFrame) -> DataFrame:
+    """`keep`, at and word: each maximal run of letters and digits whose hash is probably among `hashes`, and where it begins.
+
+    A run is hashed whole, with `WORD` as its seed.  Words that aren't among them never leave the task.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(hashes))
+    schema = texts.select(*keep).schema
+    width = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_pieces(batch, width):
+                codes = Codes(part.column(width))
+                rows, start, end = codes.runs(alnum(codes.codes))
+                hit = np.flatnonzero(holds(shared.value, codes.hashes(start, end, WORD)))
+                rows, start, end = rows[hit], start[hit], end[hit]
+                said = pa.array([codes.codes[a:b].astype("<u4").tobytes().decode("utf-32-le") for a, b in zip(start.tolist(), end.tolist())], pa.string())
+                took = part.select(range(width)).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*took.columns, pa.array((start - codes.of[rows]).astype(np.int32)), said], names=[*keep, "at", "word"])
+
+    return texts.select(*keep, column.alias("__text")).mapInArrow(run, schema.add("at", "integer").add("word", "string"))
+
+
 def under(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """A hash under a salt."""
     return mixed(h ^ salt)

@@ -98,11 +98,8 @@ def n11_folded_names(spark, sf):
 )
 def d21_dictionary_names(spark, sf):
     listed = spark.createDataFrame([(n, "PERSON") for n in ("The", "and", "Le", "les", "Une")], "name string, label string")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = names.find_names(docs, listed, ["doc_id"])
-    return found.join(docs, "doc_id").select(
-        "doc_id", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("name")
-    ).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return names.find_names(docs, listed, ["doc_id"]).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
 def _entities(spark, sf):
