@@ -27,6 +27,7 @@ from velaria.llm import common
 
 HEAD = 1 << 17
 CLASS_SIZE = 64
+FIRST_BITS = 17
 END = np.uint64(0x0E0D)
 #: Share of an output that has no word; gradients that stem from less would be denormal numbers, which are slow.
 LEAST = 1e-12
@@ -84,12 +85,19 @@ class Vocabulary:
         self.freq[0], self.freq[CLASS_SIZE:] = max(self.other_total, 0) + 1, self.counts[best]
         self.output = np.zeros(len(self.words), np.int64)
         self.output[best] = CLASS_SIZE + np.arange(len(best))
+        # Where words with the same first bits begin; hashes are spread evenly, so a word is at most a few places behind.
+        self.begin = np.searchsorted(self.words, np.arange(1 << FIRST_BITS, dtype=np.uint64) << np.uint64(64 - FIRST_BITS)).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head and whether it is there."""
         if not len(self.words):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        at = np.minimum(self.begin[(hashes >> np.uint64(64 - FIRST_BITS)).astype(np.int64)], len(self.words) - 1)
+        open_ = np.flatnonzero(self.words[at] < hashes)
+        while len(open_):
+            open_ = open_[at[open_] < len(self.words) - 1]
+            at[open_] += 1
+            open_ = open_[self.words[at[open_]] < hashes[open_]]
         return at, self.words[at] == hashes
 
     def outputs_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -97,121 +105,211 @@ class Vocabulary:
         return np.where(hit, self.output[at], self.other) if len(self.words) else np.full(len(hashes), self.other)
 
 
+def exponents(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of each row up to a factor, its sum, and the log of the sum without that factor.
+
+    Rows are moved to a maximum of 0 only where a sum would be far from one.
+    """
+    ones = np.ones(logit.shape[1], logit.dtype)
+    with np.errstate(over="ignore", under="ignore"):
+        e = np.exp(logit)
+    total = e @ ones
+    if not len(total) or (total.min() > 1e-9 and total.max() < 1e9):
+        return e, total, np.log(total)
+    top = logit.max(1)
+    e = np.exp(logit - top[:, None])
+    total = e @ ones
+    return e, total, np.log(total) + top
+
+
+def adagrad(values: np.ndarray, past: np.ndarray, grad: np.ndarray, rate: float, some: np.ndarray | slice = slice(None)) -> None:
+    """An Adagrad step on some rows; the gradient of the others is 0, which would leave them and their past as they are."""
+    squares = past[some] + grad * grad
+    past[some] = squares
+    np.sqrt(squares, out=squares)
+    squares += 1e-6
+    np.divide(grad, squares, out=squares)
+    squares *= rate
+    values[some] -= squares
+
+
 class Network:
-    """Parameters in one flat array, with views by name."""
+    """Parameters in one flat array, with views by name; a softmax has its biases in the last row of its matrix.
+
+    Within a window gates and states lie as (step, unit, row), so that a step works on whole blocks.
+    """
 
     def __init__(self, freq: np.ndarray, width: int = 16):
         self.width, self.size = width, len(freq)
         self.classes = -(-self.size // CLASS_SIZE)
         h, k, c = width, self.classes * CLASS_SIZE, self.classes
-        shapes = {"embed": (k + 1, h), "wx": (h, 3 * h), "wh": (h, 3 * h), "b": (3 * h,), "cw": (h, c), "cb": (c,), "ow": (c, h, CLASS_SIZE), "ob": (c, CLASS_SIZE)}
-        self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32)
-        self.shapes = shapes
-        self.use(self.flat)
+        shapes = {"embed": (k + 1, h), "wx": (h, 3 * h), "wh": (h, 3 * h), "b": (3 * h,), "cw": (h + 1, c), "ow": (c, h + 1, CLASS_SIZE)}
+        ends = np.cumsum([int(np.prod(s)) for s in shapes.values()]).tolist()
+        self.places = {name: (start, end, shapes[name]) for name, start, end in zip(shapes, [0, *ends], ends)}
+        self.use(np.zeros(ends[-1], np.float32))
+        # The first two gates are 1 / (1 + exp(-x)): their weights are negated at once.
+        self.sign = np.repeat(np.float32([-1, -1, 1]), h)
+        # Of the four things a state's gradient goes to (see `train_window`), those that an input's does.
+        self.own = np.r_[: 2 * h, 3 * h : 4 * h]
         rng = np.random.default_rng(5)
-        for name, spread in (("embed", 0.1), ("wx", 0.3), ("wh", 0.3), ("cw", 0.05), ("ow", 0.05)):
+        for name, spread in (("embed", 0.1), ("wx", 0.3), ("wh", 0.3)):
             self.p[name][...] = rng.normal(0, spread, shapes[name])
+        self.p["cw"][:h] = rng.normal(0, 0.05, (h, c))
+        self.p["ow"][:, :h] = rng.normal(0, 0.05, (c, h, CLASS_SIZE))
         share = np.full(c * CLASS_SIZE, LEAST)
         share[: self.size] = np.maximum(freq / freq.sum(), LEAST)
         share = share.reshape(c, CLASS_SIZE)
-        self.p["cb"][...] = np.log(share.sum(1))
-        self.p["ob"][...] = np.log(share / share.sum(1, keepdims=True))
+        self.p["cw"][h] = np.log(share.sum(1))
+        self.p["ow"][:, h] = np.log(share / share.sum(1, keepdims=True))
 
     def use(self, flat: np.ndarray) -> None:
-        self.flat, self.p, at = flat, {}, 0
-        for name, shape in self.shapes.items():
-            n = int(np.prod(shape))
-            self.p[name] = flat[at : at + n].reshape(shape)
-            at += n
+        self.flat, self.p = flat, self.views(flat)
 
-    def states(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each step (steps, rows, width), and what the way back needs."""
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        return {name: flat[start:end].reshape(shape) for name, (start, end, shape) in self.places.items()}
+
+    def _forward(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """States from the first on, gates, what the last gates got from the states, and the inputs' embeddings."""
         p, w = self.p, self.width
-        x = p["embed"][inputs] @ p["wx"] + p["b"]
-        out, kept = np.empty((*inputs.shape, w), np.float32), []
-        for t in range(len(inputs)):
-            g = h @ p["wh"]
-            zr = 1 / (1 + np.exp(-(x[t, :, : 2 * w] + g[:, : 2 * w])))
-            z, r = zr[:, :w], zr[:, w:]
-            n = np.tanh(x[t, :, 2 * w :] + r * g[:, 2 * w :])
-            kept.append((h, z, r, n, g[:, 2 * w :]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, kept
+        sign = self.sign
+        wh = np.ascontiguousarray((p["wh"] * sign).T)
+        embedded = p["embed"][inputs]
+        gates = np.matmul((p["wx"] * sign).T, embedded.transpose(0, 2, 1))
+        gates += (p["b"] * sign)[:, None]
+        inner = np.empty_like(gates)
+        states = np.empty((len(inputs) + 1, w, inputs.shape[1]), self.flat.dtype)
+        states[0] = h.T
+        part = np.empty_like(states[0])
+        views = (states, states[1:], inner, inner[:, : 2 * w], inner[:, 2 * w :], gates[:, : 2 * w], gates[:, :w], gates[:, w : 2 * w], gates[:, 2 * w :])
+        for before, after, g, g_zr, g_n, zr, z, r, n in zip(*views):
+            np.matmul(wh, before, g)
+            zr += g_zr
+            np.exp(zr, zr)
+            zr += 1
+            np.reciprocal(zr, zr)
+            np.multiply(r, g_n, part)
+            n += part
+            np.tanh(n, n)
+            np.subtract(before, n, after)
+            after *= z
+            after += n
+        return states, gates, inner, embedded
+
+    def states(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """States after each step (steps, rows, width), and what the way back needs."""
+        kept = self._forward(inputs, h)
+        return kept[0][1:].transpose(0, 2, 1), kept
 
     def losses(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probabilities of targets after states h (rows, width); with grads, the states' gradient too."""
-        p = self.p
-        group, word = targets // CLASS_SIZE, targets % CLASS_SIZE
-        logit = h @ p["cw"] + p["cb"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
+        """Natural log probabilities of targets after states h (rows, width); with grads, the states' gradient too.
+
+        `grads` gets the gradients of the classes' matrix, of the matrices of those classes that occur, and their numbers.
+        """
+        p, w = self.p, self.width
+        group = targets // CLASS_SIZE
+        order = np.argsort(group.astype(np.uint16) if self.classes < 1 << 16 else group, kind="stable")
+        group = group[order]
+        word = targets[order] - group * CLASS_SIZE
+        cuts = np.searchsorted(group, np.arange(self.classes + 1))
+        wide = np.empty((len(h), w + 1), h.dtype)
+        wide[:, :w], wide[:, w] = h[order], 1
+        logit = wide @ p["cw"]
         rows = np.arange(len(h))
-        out = logit[rows, group] - np.log(total)
-        back = None
+        got = logit[rows, group]
+        e, total, log = exponents(logit)
+        got -= log
         if grads is not None:
-            e /= total[:, None]
-            e[rows, group] -= 1
-            grads["cw"] += h.T @ e
-            grads["cb"] += e.sum(0)
-            back = e @ p["cw"].T
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in (np.flatnonzero(np.diff(cuts)[1:]) + 1).tolist():
-            some = order[cuts[c] : cuts[c + 1]]
-            hc = h[some]
-            logit = hc @ p["ow"][c] + p["ob"][c]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            total = e.sum(1)
-            here = np.arange(len(some))
-            out[some] += logit[here, word[some]] - np.log(total)
-            if grads is not None:
-                e /= total[:, None]
-                e[here, word[some]] -= 1
-                grads["ow"][c] += hc.T @ e
-                grads["ob"][c] += e.sum(0)
-                back[some] += e @ p["ow"][c].T
-        return out, back
+            # (e / total - 1 at the target), with the division left to the narrow matrices
+            e[rows, group] -= total
+            share = np.reciprocal(total)[:, None]
+            grads["cw"] = (wide * share).T @ e
+            back = e @ p["cw"][:w].T
+            back *= share
+        # The first class has one output only.  Words of the others go, class by class, in blocks of a few rows that one matrix
+        # serves; rows that fill a block up are 0 and so give no gradient.
+        first, counts = int(cuts[1]), np.diff(cuts)
+        some = np.flatnonzero(counts[1:]) + 1
+        counts = counts[some]
+        height = 8 if len(h) - first < 16 * len(some) else 16
+        blocks = -(-counts // height)
+        begin = np.cumsum(blocks) - blocks
+        slot = np.arange(first, len(h)) + np.repeat(begin * height - cuts[some], counts)
+        filled = np.zeros((int(blocks.sum()), height, w + 1), h.dtype)
+        filled.reshape(-1, w + 1)[slot] = wide[first:]
+        matrices = p["ow"][np.repeat(some, blocks)]
+        word = word[first:]
+        logit = np.matmul(filled, matrices).reshape(-1, CLASS_SIZE)
+        picked = logit[slot, word]
+        e, total, log = exponents(logit)
+        got[first:] += picked - log[slot]
+        out = np.empty_like(got)
+        out[order] = got
+        if grads is None:
+            return out, None
+        e *= np.reciprocal(total)[:, None]
+        e[slot, word] -= 1
+        e = e.reshape(*filled.shape[:2], CLASS_SIZE)
+        grads["classes"], grads["ow"] = some, matrices[:0]
+        if len(some):
+            parts = np.matmul(filled.transpose(0, 2, 1), e)
+            grads["ow"] = parts[begin]
+            for i in np.flatnonzero(blocks > 1).tolist():
+                np.add.reduce(parts[begin[i] : begin[i] + blocks[i]], axis=0, out=grads["ow"][i])
+            back[first:] += np.matmul(e, matrices[:, :w].transpose(0, 2, 1)).reshape(-1, w)[slot]
+        placed = np.empty_like(back)
+        placed[order] = back
+        return out, placed
 
     def train_window(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray, rate: float, past: np.ndarray) -> np.ndarray:
         """One step of truncated backpropagation with Adagrad steps; the state after the window."""
         p, w = self.p, self.width
-        states, kept = self.states(inputs, h)
+        steps, rows = inputs.shape
+        states, gates, inner, embedded = self._forward(inputs, h)
         at = np.flatnonzero(valid.reshape(-1))
-        flat = np.zeros_like(self.flat)
-        mine = Network.__new__(Network)
-        mine.shapes = self.shapes
-        mine.use(flat)
-        g = mine.p
-        _, back = self.losses(states.reshape(-1, w)[at], targets.reshape(-1)[at], g)
-        up = np.zeros((inputs.size, w), np.float32)
+        g: dict[str, np.ndarray] = {}
+        after = states[1:].transpose(0, 2, 1).reshape(-1, w)
+        _, back = self.losses(after[at], targets.reshape(-1)[at], g)
+        up = np.zeros((inputs.size, w), self.flat.dtype)
         up[at] = back
-        up = up.reshape(states.shape)
-        dx = np.empty((*inputs.shape, 3 * w), np.float32)
-        dh = np.zeros_like(h)
-        for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, n, gn = kept[t]
-            d = dh + up[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t, :, :w], dx[t, :, w : 2 * w], dx[t, :, 2 * w :] = dz, dr, dn
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            g["wh"] += before.T @ dg
-            dh = d * z + dg @ p["wh"].T
-        both = dx.reshape(-1, 3 * w)
+        up = np.ascontiguousarray(up.reshape(steps, rows, w).transpose(0, 2, 1))
+        # What a state's gradient gives to the gates: z, r, the inner part of n, and n.  All but that gradient is known beforehand.
+        before, z, r, n = states[:-1], gates[:, :w], gates[:, w : 2 * w], gates[:, 2 * w :]
+        d = np.empty((steps, 4, w, rows), self.flat.dtype)
+        rest = 1 - z
+        d[:, 3] = (1 - n * n) * rest
+        rest *= z
+        d[:, 0] = (before - n) * rest
+        np.multiply(d[:, 3], r, out=d[:, 2])
+        d[:, 1] = d[:, 2] * inner[:, 2 * w :] * (1 - r)
+        dh = np.zeros((w, rows), self.flat.dtype)
+        wh, flat = p["wh"], d.reshape(steps, 4 * w, rows)
+        for here, gate, inside, stays in zip(up[::-1], d[::-1], flat[::-1, : 3 * w], z[::-1]):
+            here += dh
+            gate *= here
+            np.matmul(wh, inside, dh)
+            here *= stays
+            dh += here
+        d = flat
+        turned = d.transpose(0, 2, 1)
+        own = self.own
+        g["wh"] = np.matmul(before, turned[:, :, : 3 * w]).sum(0)
+        g["wx"] = np.matmul(embedded.transpose(0, 2, 1), turned).sum(0)[:, own]
+        g["b"] = d.sum((0, 2))[own]
+        wx = np.zeros((4 * w, w), self.flat.dtype)
+        wx[own] = p["wx"].T
         tokens = inputs.reshape(-1)
-        g["wx"] += p["embed"][tokens].T @ both
-        g["b"] += both.sum(0)
-        order = np.argsort(tokens, kind="stable")
-        some, first = np.unique(tokens[order], return_index=True)
-        g["embed"][some] = np.add.reduceat((both @ p["wx"].T)[order], first)
-        flat /= max(len(at), 1)
-        past += flat * flat
-        self.flat -= rate * flat / (np.sqrt(past) + 1e-6)
-        return states[-1]
+        order = np.argsort(tokens.astype(np.uint16) if len(p["embed"]) <= 1 << 16 else tokens, kind="stable")
+        tokens = tokens[order]
+        new = np.ones(len(tokens), bool)
+        np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        g["embed"] = np.add.reduceat(np.matmul(turned, wx).reshape(-1, w)[order], first)
+        some = {"embed": tokens[first], "ow": g.pop("classes")}
+        least, before_squares = max(len(at), 1), self.views(past)
+        for name, grad in g.items():
+            grad /= least
+            adagrad(p[name], before_squares[name], grad, rate, some.get(name, slice(None)))
+        return states[-1].T
 
     def train(self, ids: np.ndarray, of: np.ndarray, rate: float, past: np.ndarray, rows: int = 256, steps: int = 16) -> None:
         """Documents of like length side by side, window by window."""
@@ -220,17 +318,20 @@ class Network:
             for inputs, targets, valid, active in self._windows(ids, of, some, steps):
                 h = self.train_window(inputs, targets, valid, h[:active], rate, past)
 
-    def score(self, ids: np.ndarray, of: np.ndarray, rows: int = 2048, steps: int = 16) -> np.ndarray:
-        """Natural log probability of every document, to its end."""
+    def score(self, ids: np.ndarray, of: np.ndarray, rows: int = 512, steps: int = 16, tokens: int = 4096) -> np.ndarray:
+        """Natural log probability of every document, to its end; windows get longer where fewer documents go on."""
         out = np.zeros(len(of) - 1)
         for some in self._batches(of, rows):
             h = np.zeros((len(some), self.width), np.float32)
-            for inputs, targets, valid, active in self._windows(ids, of, some, steps):
+            for inputs, targets, valid, active in self._windows(ids, of, some, steps, tokens):
                 states, _ = self.states(inputs, h[:active])
                 h = states[-1]
                 at = np.flatnonzero(valid.reshape(-1))
-                values, _ = self.losses(states.reshape(-1, self.width)[at], targets.reshape(-1)[at])
-                out[some[:active]] += np.bincount(at % active, weights=values, minlength=active)
+                states, targets = states.reshape(-1, self.width), targets.reshape(-1)
+                for a in range(0, len(at), tokens):
+                    part = at[a : a + tokens]
+                    values, _ = self.losses(states[part], targets[part])
+                    out[some[:active]] += np.bincount(part % active, weights=values, minlength=active)
         return out
 
     def _batches(self, of: np.ndarray, rows: int) -> Iterator[np.ndarray]:
@@ -238,18 +339,24 @@ class Network:
         for a in range(0, len(order), rows):
             yield order[a : a + rows]
 
-    def _windows(self, ids, of, some, steps):
-        """Inputs (the token before), targets and which of them exist; only documents that go on."""
+    def _windows(self, ids, of, some, steps, tokens=0):
+        """Inputs (the token before), targets and which of them exist; only documents that go on.
+
+        A window has `steps` steps, or more while it then has at most `tokens` tokens.
+        """
         begin, length = of[:-1][some], np.diff(of)[some]
         start = self.classes * CLASS_SIZE
-        for t in range(0, int(length[0]), steps):
+        t = 0
+        while t < int(length[0]):
             active = int(np.searchsorted(-length, -t))
-            here = t + np.arange(min(steps, int(length[0]) - t))[:, None]
+            most = max(steps, tokens // active)
+            here = t + np.arange(min(most, int(length[0]) - t))[:, None]
             valid = here < length[None, :active]
             at = begin[None, :active] + np.minimum(here, length[None, :active] - 1)
             targets = ids[at]
             inputs = np.where(here > 0, ids[np.maximum(at - 1, 0)], start)
             yield inputs, targets, valid, active
+            t += most
 
 
 def _documents(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, most: int = 3_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -344,7 +451,7 @@ def score(df: DataFrame, vocabulary: Vocabulary, network: Network, counts: DataF
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias("__id"), held_out(key).alias("__out"), F.col(f"`{text}`").alias("__body"))
     new = "doc_id long, held_out boolean, n_tokens long, n_head long, head_logs double, other_logs double, n_other long, net double, tail array<long>"
-    scored = common.map_text(rows, "__body", new, make, keep=[], extra=("__id", "__out"), chunk_bytes=2 * common.CHUNK_BYTES)
+    scored = common.map_text(rows, "__body", new, make, keep=[], extra=("__id", "__out"), chunk_bytes=4 * common.CHUNK_BYTES)
     scored = common.written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = scored.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     found = tail.join(counts, "word").groupBy("row").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
