@@ -124,7 +124,8 @@ def exponents(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def adagrad(values: np.ndarray, past: np.ndarray, grad: np.ndarray, rate: float, some: np.ndarray | slice = slice(None)) -> None:
     """An Adagrad step on some rows; the gradient of the others is 0, which would leave them and their past as they are."""
-    squares = past[some] + grad * grad
+    squares = np.square(grad)
+    squares += past[some]
     past[some] = squares
     np.sqrt(squares, out=squares)
     squares += 1e-6
@@ -201,7 +202,7 @@ class Network:
         return kept[0][1:].transpose(0, 2, 1), kept
 
     def losses(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probabilities of targets after states h (rows, width); with grads, the states' gradient too.
+        """Natural log probabilities of targets after states h (rows, width); with grads, the states' gradient of their mean too.
 
         `grads` gets the gradients of the classes' matrix, of the matrices of those classes that occur, and their numbers.
         """
@@ -221,6 +222,7 @@ class Network:
         if grads is not None:
             # (e / total - 1 at the target), with the division left to the narrow matrices
             e[rows, group] -= total
+            total *= max(len(h), 1)
             share = np.reciprocal(total)[:, None]
             grads["cw"] = (wide * share).T @ e
             back = e @ p["cw"][:w].T
@@ -246,8 +248,9 @@ class Network:
         out[order] = got
         if grads is None:
             return out, None
+        total *= max(len(h), 1)
         e *= np.reciprocal(total)[:, None]
-        e[slot, word] -= 1
+        e[slot, word] -= 1 / max(len(h), 1)
         e = e.reshape(*filled.shape[:2], CLASS_SIZE)
         grads["classes"], grads["ow"] = some, matrices[:0]
         if len(some):
@@ -304,11 +307,12 @@ class Network:
         np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
         first = np.flatnonzero(new)
         g["embed"] = np.add.reduceat(np.matmul(turned, wx).reshape(-1, w)[order], first)
-        some = {"embed": tokens[first], "ow": g.pop("classes")}
-        least, before_squares = max(len(at), 1), self.views(past)
-        for name, grad in g.items():
-            grad /= least
-            adagrad(p[name], before_squares[name], grad, rate, some.get(name, slice(None)))
+        before_squares = self.views(past)
+        for name, some in (("embed", tokens[first]), ("ow", g["classes"])):
+            adagrad(p[name], before_squares[name], g[name], rate, some)
+        # The others lie one after another.
+        begin, end = self.places["wx"][0], self.places["cw"][1]
+        adagrad(self.flat[begin:end], past[begin:end], np.concatenate([g[name].reshape(-1) for name in ("wx", "wh", "b", "cw")]), rate)
         return states[-1].T
 
     def train(self, ids: np.ndarray, of: np.ndarray, rate: float, past: np.ndarray, rows: int = 256, steps: int = 16) -> None:
