@@ -108,6 +108,13 @@ def test_sums_far_from_one_move_to_their_maximum():
     np.testing.assert_allclose((e / total[:, None]).sum(1), 1, rtol=1e-6)
 
 
+def test_no_probability_is_above_one():
+    net = recurrent.Network(np.eye(1, CLASS_SIZE)[0])
+    net.train(np.zeros(50, np.int64), np.array([0, 1, 30, 50]), 0.1, np.full_like(net.flat, 1e-6))
+    states = np.tanh(np.random.default_rng(2).normal(size=(500, net.width))).astype(np.float32)
+    assert net.losses(states, np.zeros(500, np.int64))[0].max() <= 0
+
+
 def test_words_are_found_by_their_first_bits():
     rng = np.random.default_rng(3)
     words = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(9, dtype=np.uint64)]))

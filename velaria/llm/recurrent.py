@@ -245,7 +245,8 @@ class Network:
         e, total, log = exponents(logit)
         got[first:] += picked - log[slot]
         out = np.empty_like(got)
-        out[order] = got
+        # (Rounding may lift a certain output's above 0.)
+        out[order] = np.minimum(got, 0)
         if grads is None:
             return out, None
         total *= max(len(h), 1)
